@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import cut
@@ -55,11 +55,14 @@ def _document(text: str) -> tuple:
     return len(words), sum(map(len, words)), len(SYMBOL.findall(text)), len(lines) - len(set(lines)), repeated_words(words)
 
 
+def line_hash(line: Column) -> Column:
+    """White-space runs, case and the digits of numbers don't make lines differ."""
+    return F.xxhash64(F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))), "[0-9]+", "0"))
+
+
 def base_rules(docs: DataFrame) -> DataFrame:
     """doc_id, host, text_key, the counts of the contract, base_failed, and for each line with a word its hash and number of words. No shuffle."""
-    # Whitespace runs, case and digits don't make lines differ.
-    norm = lambda x: F.regexp_replace(F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " "))), "[0-9]+", "0")
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(norm(x)).alias("h"), F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))), lambda s: s["w"] > 0)
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.struct(line_hash(x).alias("h"), F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))), lambda s: s["w"] > 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("lines", lines).withColumn("text_key", F.xxhash64("text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -102,3 +105,15 @@ def quality(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SH
     left = F.col("n_words") - F.col("n_boilerplate_words")
     verdict = ~F.col("base_failed") & ~((F.col("n_boilerplate_words") > 0) & ((left < F.col("n_words") * kept_share) | (left < min_words)))
     return joined.withColumn("n_boilerplate_words", gone).select("doc_id", "text_key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_boilerplate_words", F.col("r_boilerplate").alias("boilerplate"), verdict.alias("kept"))
+
+
+def apply_rules(docs: DataFrame, **limits) -> DataFrame:
+    """The documents that are kept, boilerplate lines removed from their texts, n_chars to match; other columns as they are."""
+    key = ["_id", "_key", "_host"]
+    good = quality(docs, **limits).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("host").alias("_host"), F.col("boilerplate").alias("_gone")).dropDuplicates(key)
+    text = docs["text"].cast("string")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")) & docs["source"].cast("string").eqNullSafe(F.col("_host"))
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_gone", line_hash(x))), "\n")
+    joined = docs.join(good, same).withColumn("_left", F.when(F.col("_gone").isNull(), text).otherwise(left))
+    columns = [F.col("_left").alias("text") if c == "text" else F.when(F.col("_gone").isNull(), docs[c]).otherwise(F.length("_left")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    return joined.select(*columns)

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from folio.llm import bpe, decontam, line_dedup, pii, quality, secrets, tokens
+from folio.llm import bpe, chat, decontam, line_dedup, ngram_join, pii, quality, secrets, suffix_dedup, tokens
 
 
-def _tokenizer(name: str = "word_bpe_49k.json") -> str:
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -18,12 +17,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents")).drop("is_first")
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_words")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(_table(spark, sf_dir, "documents"), _tokenizer(), limit=2048)
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer(), limit=2048)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,19 +42,23 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer())
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules, op4_token_counts, op5_line_dedup, op6_secret_scans, op7_bpe_codec, op8_personal_data, op10_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_dedup, op3_quality_rules, op4_token_counts, op5_line_dedup, op6_secret_scans, op7_bpe_codec, op8_personal_data, op9_chat_formatting, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

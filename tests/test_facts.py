@@ -201,3 +201,17 @@ def test_queue_stream(spark, tmp_path):
 def test_config(monkeypatch):
     monkeypatch.setenv("FOLIO_DELAY_MS", "50")
     assert Config.from_env() == Config(delay_ms=50)
+
+
+def test_other_queries_stand_without_the_corpus_operators(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[1]
+    shutil.copytree(repo / "folio", tmp_path / "folio", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 60 and set(o) <= set(q) and 'pipeline' not in q and 'op4_token_counts' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)

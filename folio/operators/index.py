@@ -1,0 +1,67 @@
+"""An inverted index for search over large corpora.
+
+The index is a table of (token, field, id, tf), dealt out to folders by the
+token's hash and sorted by token, so a term reads a few row groups of one
+folder instead of every paper. A query becomes semi, anti and union joins of
+its terms' lists; phrases are verified on the papers that are left.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from folio.plans.query import FIELDS, Term, _needle, _normal, parse, predicate
+
+FOLDERS = 64
+
+
+def build(papers: DataFrame, path: str, folders: int = FOLDERS) -> None:
+    """Write the index of papers. A common token's rows are dealt out to several tasks."""
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), F.split(F.trim(_normal(text())), " ").alias("tokens")) for f, (text, _) in FIELDS.items()])
+    categories = F.struct(F.lit("cat").alias("field"), F.transform("categories", F.lower).alias("tokens"))
+    rows = papers.select("id", F.explode(F.concat(texts, F.array(categories))).alias("x")).select("id", "x.field", F.explode("x.tokens").alias("token")).where("token <> ''")
+    index = rows.groupBy("token", "field", "id").agg(F.count("*").alias("tf")).withColumn("folder", _folder(F.col("token"), folders))
+    spread = index.repartition("folder", F.pmod(F.xxhash64("id"), F.lit(4)))
+    spread.sortWithinPartitions("folder", "token", "field").write.mode("overwrite").partitionBy("folder").parquet(path)
+
+
+def _folder(token: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(folders)).cast("int")
+
+
+def _ids(index: DataFrame, tokens: list[str], field: str, folders: int) -> DataFrame:
+    """id of papers that hold all tokens in the field; the filters reach the scan."""
+    fields = [field] if field != "all" else [*FIELDS, "cat"]
+
+    def one(token: str) -> DataFrame:
+        found = index.where((F.col("folder") == _folder(F.lit(token), folders)) & (F.col("token") == token) & F.col("field").isin(fields))
+        return found.select("id").distinct()
+
+    return reduce(lambda a, b: a.join(b, "id", "left_semi"), map(one, tokens))
+
+
+def _candidates(tree, index: DataFrame, folders: int) -> DataFrame:
+    """A superset of the matching ids; exact but for phrases."""
+    if isinstance(tree, Term):
+        if tree.field == "cat":
+            return _ids(index, [tree.text.lower()], "cat", folders)
+        tokens = _needle(tree.text).split()
+        own = _ids(index, tokens or [""], tree.field, folders)
+        return own.union(_ids(index, [tree.text.lower()], "cat", folders)).distinct() if tree.field == "all" else own
+    operator, left, right = tree
+    a = _candidates(left, index, folders)
+    if operator == "OR":
+        return a.union(_candidates(right, index, folders)).distinct()
+    if operator == "ANDNOT":
+        # A phrase's list holds too much to be taken away; the predicate does that.
+        return a
+    return a.join(_candidates(right, index, folders), "id", "left_semi")
+
+
+def matching(papers: DataFrame, index: DataFrame, query: str, folders: int = FOLDERS) -> DataFrame:
+    """The papers that match, found by the index; what it leaves is held against the whole predicate."""
+    tree = parse(query)
+    return papers.join(_candidates(tree, index, folders), "id", "left_semi").where(predicate(tree))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import render
-from folio.plans.query import parse, predicate, score
+from folio.plans.query import normal_fields, parse, predicate, score
 from folio.schema import PAPER_FIELDS
 
 SORTS = ("relevance", "submitted", "updated")
@@ -18,19 +18,27 @@ def matching(papers: DataFrame, query: str, category: str | None = None) -> Data
     return found if category is None else found.where(F.array_contains("categories", category))
 
 
-def order_by(query: str, sort_by: str = "relevance", sort_order: str = "descending") -> list[Column]:
-    """Sort columns with ties settled: by date for relevance, then by id."""
+def scored(found: DataFrame, query: str, sort_by: str = "relevance") -> DataFrame:
+    """With _score, where the order asks for it: a column, as sorting by an expression would work it out for every comparison."""
+    if sort_by != "relevance":
+        return found
+    return found.withColumns(normal_fields()).withColumn("_score", score(parse(query))).drop(*normal_fields())
+
+
+def order_by(sort_by: str = "relevance", sort_order: str = "descending") -> list[Column]:
+    """Sort columns of scored(), with ties settled: by date for relevance, then by id."""
     turn = (lambda c: c.desc()) if sort_order == "descending" else (lambda c: c.asc())
     if sort_by == "submitted":
         return [turn(F.col("published")), F.col("id").asc()]
     if sort_by == "updated":
         return [turn(F.col("updated")), F.col("id").asc()]
-    return [turn(score(parse(query))), F.col("published").desc(), F.col("id").asc()]
+    return [turn(F.col("_score")), F.col("published").desc(), F.col("id").asc()]
 
 
 def page(papers: DataFrame, query: str, category: str | None = None, max_results: int = 10, sort_by: str = "relevance", sort_order: str = "descending", start: int = 0) -> DataFrame:
     """One page in order; Spark keeps the top rows of every task only."""
-    return matching(papers, query, category).orderBy(*order_by(query, sort_by, sort_order)).offset(start).limit(max_results)
+    found = scored(matching(papers, query, category), query, sort_by)
+    return found.orderBy(*order_by(sort_by, sort_order)).offset(start).limit(max_results)
 
 
 def total(papers: DataFrame, query: str, category: str | None = None) -> DataFrame:
@@ -42,13 +50,13 @@ def envelope(papers: DataFrame, query: str, category: str | None = None, max_res
 
     The page is limited to max_results rows before it is gathered.
     """
-    rows = matching(papers, query, category).select(*PAPER_FIELDS).orderBy(*order_by(query, sort_by, sort_order)).offset(start).limit(max_results)
-    ranked = rows.withColumn("_sort", _sort_key(query, sort_by, sort_order))
+    rows = page(papers, query, category, max_results, sort_by, sort_order, start)
+    ranked = rows.withColumn("_sort", _sort_key(sort_by, sort_order))
     items = F.transform(F.sort_array(F.collect_list(F.struct("_sort", F.struct(*PAPER_FIELDS).alias("p")))), lambda x: x["p"])
     return total(papers, query, category).crossJoin(ranked.agg(items.alias("papers"))).select("total_results", F.lit(start).cast("bigint").alias("start"), "papers")
 
 
-def _sort_key(query: str, sort_by: str, sort_order: str) -> Column:
+def _sort_key(sort_by: str, sort_order: str) -> Column:
     """The order of order_by as one ascending struct, to gather a page in order."""
     down = sort_order == "descending"
 
@@ -58,7 +66,7 @@ def _sort_key(query: str, sort_by: str, sort_order: str) -> Column:
 
     if sort_by in ("submitted", "updated"):
         return F.struct(text("published" if sort_by == "submitted" else "updated", down).alias("a"), F.col("id").alias("b"))
-    points = score(parse(query))
+    points = F.col("_score")
     return F.struct((F.negate(points) if down else points).alias("a"), text("published", True).alias("b"), F.col("id").alias("c"))
 
 

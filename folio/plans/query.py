@@ -121,14 +121,19 @@ def _positive(tree) -> list[Term]:
     return _positive(left) + ([] if operator == "ANDNOT" else _positive(right))
 
 
+def normal_fields() -> dict[str, Column]:
+    """The fields as words between single spaces, to be worked out once for a row."""
+    return {f"_words_{f}": _normal(text()) for f, (text, _) in FIELDS.items()}
+
+
 def score(tree) -> Column:
-    """Weighted occurrences of the positive terms in the fields they ask for."""
+    """Weighted occurrences of the positive terms in the fields they ask for, over the columns of normal_fields()."""
     total = F.lit(0).cast("bigint")
     for term in _positive(tree):
         needle = _needle(term.text)
         for f in FIELDS if term.field == "all" else [term.field] if term.field in FIELDS else []:
             # Doubled spaces keep neighbours from sharing one.
-            padded, doubled = F.replace(_normal(FIELDS[f][0]()), F.lit(" "), F.lit("  ")), needle.strip().replace(" ", "  ")
+            padded, doubled = F.replace(f"_words_{f}", F.lit(" "), F.lit("  ")), needle.strip().replace(" ", "  ")
             sought = f" {doubled} "
             hits = (F.length(padded) - F.length(F.replace(padded, F.lit(sought), F.lit("")))) / len(sought)
             if doubled:

@@ -95,8 +95,7 @@ def _ranked(page: DataFrame, keys, start: int = 0) -> DataFrame:
 
 def _search(name: str, text: str, where: str, score: str = "0", category: str | None = None, **options) -> None:
     by, order, start = options.get("sort_by", "submitted"), options.get("sort_order", "descending"), options.get("start", 0)
-    keys = lambda: search.order_by(text, by, order)
-    run = lambda s, d: _ranked(search.page(_papers(s, d), text, category, sort_by=by, sort_order=order, start=start), keys(), start)
+    run = lambda s, d: _ranked(search.page(_papers(s, d), text, category, sort_by=by, sort_order=order, start=start), search.order_by(by, order), start)
     query(name, sql.page(where, score, by, order, start))(run)
 
 

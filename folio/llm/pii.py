@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from folio.llm.common import cut, documents, span_digest
 from folio.llm.spans import found_if, in_order, kinds, matches
 
-#: Fixed patterns of the contract, written so that no match can backtrack.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+#: Fixed patterns of the contract, written so that no match can backtrack, nor begin again inside a run that failed.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}]{3,}"

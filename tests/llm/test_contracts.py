@@ -12,7 +12,7 @@ from tests.llm import brute  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-AWKWARD = [None, "", " \n\t ", "one", "a b c", "İstanbul ΑΣ Σ x 你好 it's 42 <|endoftext|> z", "x" * 5000, "la " * 3000, "AKIA" + "A" * 16 + " secret: 'abc' token==abcdef PASSWORD = \"hunter22\" secret=token:abcdefgh " + "0f" * 20, "mail a.b@c.de.f, 1.2.3.4.5 256.1.1.1 007.0.0.1 4111 1111 1111 1111 +1 (988) 555-2485 ++1.2 +49 30 1234567-8 " + "1 " * 9000, "é" * 70 + "😀 +1 (988) 555-2485 password=😀secret12"]
+AWKWARD = [None, "", " \n\t ", "one", "a b c", "İstanbul ΑΣ Σ x 你好 it's 42 <|endoftext|> z", "x" * 5000, "la " * 3000, "AKIA" + "A" * 16 + " secret: 'abc' token==abcdef PASSWORD = \"hunter22\" secret=token:abcdefgh " + "0f" * 20, "mail a.b@c.de.f, 1.2.3.4.5 256.1.1.1 007.0.0.1 4111 1111 1111 1111 +1 (988) 555-2485 ++1.2 +49 30 1234567-8 " + "1 " * 9000, "a@b.com%x@y.org.@z.de a@b a@b.c..d@e.f " + "7" * 60_000 + " " + "q" * 60_000 + "1.2.3.4" * 3, "é" * 70 + "😀 +1 (988) 555-2485 password=😀secret12"]
 
 
 def frame(spark, rows):

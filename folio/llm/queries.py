@@ -63,4 +63,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """The others have BPE, models, or byte and span work that SQL is too slow for; tests hold them against plain versions."""
-    return {"op1_ngram_jaccard_join": sql.OP1, "op3_quality_rules": sql.OP3, "op10_decontamination": sql.OP10}
+    return {"op1_ngram_jaccard_join": sql.OP1, "op2_suffix_dedup": sql.OP2, "op3_quality_rules": sql.OP3, "op5_line_dedup": sql.OP5, "op10_decontamination": sql.OP10}

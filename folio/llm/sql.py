@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import ngram_join, quality
+from folio.llm import line_dedup, ngram_join, quality
 
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _LOWER = f"translate(coalesce(text, ''), {_ABC})"
@@ -40,3 +40,25 @@ words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(
 items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS h FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
+
+_SUM = "(b.c - a.c + a.w)"
+OP5 = rf"""WITH l AS (SELECT doc_id, i, x, lower(trim(regexp_replace(x, '{_SPACE}', ' ', 'g'))) AS h, len({_WORDS.format("x")}) AS w
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM l WHERE w > 0),
+runs AS (SELECT DISTINCT a.doc_id, a.p, b.p AS z FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + {line_dedup.MAX_LINES - 1}
+  WHERE ({_SUM} >= {line_dedup.MIN_WORDS} OR b.p = a.p + {line_dedup.MAX_LINES - 1}) AND ({_SUM} - b.w < {line_dedup.MIN_WORDS} OR {_SUM} - a.w < {line_dedup.MIN_WORDS})),
+content AS (SELECT r.doc_id, r.p, r.z, string_agg(h, chr(10) ORDER BY n.p) AS k FROM runs r JOIN n ON r.doc_id = n.doc_id AND n.p BETWEEN r.p AND r.z GROUP BY ALL),
+later AS (SELECT doc_id, p, z FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM content) WHERE nth > 1),
+gone AS (SELECT DISTINCT n.doc_id, n.i FROM later r JOIN n ON r.doc_id = n.doc_id AND n.p BETWEEN r.p AND r.z),
+kept AS (SELECT l.doc_id, string_agg(x, chr(10) ORDER BY l.i) AS t FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)
+SELECT d.doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n_lines, coalesce(g.n, 0) AS n_removed, octet_length(encode(coalesce(t, ''))) AS n_bytes_kept, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON d.doc_id = g.doc_id"""
+
+OP2 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, p, md5(substring(x, 2 * p + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS p FROM d)),
+twice AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM s) WHERE c > 1),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS fresh FROM twice)) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM runs UNION ALL SELECT d.doc_id, coalesce(max(b), 0), length(any_value(x)) // 2 FROM d LEFT JOIN runs r ON d.doc_id = r.doc_id GROUP BY d.doc_id),
+kept AS (SELECT g.doc_id, string_agg(substring(x, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS k FROM gaps g JOIN d ON g.doc_id = d.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(r.removed, 0)::bigint AS n_removed, coalesce(r.n, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n, sum(b - a) AS removed FROM runs GROUP BY doc_id) r ON d.doc_id = r.doc_id"""

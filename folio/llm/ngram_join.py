@@ -10,11 +10,15 @@ such documents alone, over its whole set in the order of their counts.
 
 1. Documents with equal sets are one node, whatever their number.
 2. Nodes with equal prefixes and size collapse into a group. Groups that share
-   a prefix shingle and have sizes within the threshold are group pairs.
+   a prefix shingle are group pairs, if their sizes and the places of the
+   shingle in both orders still allow the threshold.
 3. Group pairs expand to members, which must share as many cold sketch
    shingles as their sizes demand; what passes is verified on whole sets.
+4. Lists of the second join have no bound. Their members first meet one hub
+   of each list; then only members that the links so far leave in different
+   components meet each other.
 
-No list of all pairs of a group of copies is made.
+So no list of all pairs of a group of copies is made.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import ByteHashes, cut, documents
+from folio.llm.common import ByteHashes, cut, documents, slices
 from folio.llm.components import components
 
 WORDS, PERCENT = 4, 85
@@ -55,7 +59,7 @@ def _sets(docs: DataFrame, k: int, sketch: float) -> DataFrame:
     bound = np.uint64(int(sketch * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(t, k) for t in batch.column(1).to_pylist()]
             sid = [hashlib.blake2b(f.tobytes(), digest_size=16).digest() if len(f) else None for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.binary()), pa.array([len(f) for f in found], pa.int64()), pa.array([int(np.searchsorted(f, bound)) for f in found], pa.int64())], ["doc_id", "sid", "n", "m"])
@@ -68,7 +72,7 @@ def _sketches(docs: DataFrame, k: int, sketch: float) -> DataFrame:
     bound = np.uint64(int(sketch * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [f[: np.searchsorted(f, bound)] for f in (shingles(t, k) for t in batch.column(1).to_pylist())]
             sizes = [len(f) for f in found]
             if sum(sizes):
@@ -78,10 +82,11 @@ def _sketches(docs: DataFrame, k: int, sketch: float) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, percent: int, hot: int) -> DataFrame:
-    """doc_id, n, cold (size of the cold sketch), posts (shared shingles of the prefix), shared (of the cold sketch), full (posts is the whole prefix), short."""
+    """doc_id, n, cold (size of the cold sketch), posts (shared shingles of the prefix and their places), shared (of the cold sketch), full (posts is the whole prefix), short."""
+    post = pa.struct([("token", pa.int64()), ("at", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for n, m, found in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
                 found = found or []
@@ -90,21 +95,55 @@ def _prefixes(rows: DataFrame, percent: int, hot: int) -> DataFrame:
                 is_hot = np.array([f["df"] for f in found], dtype=np.int64) > hot
                 size = n - (percent * n + 99) // 100 + 1
                 rank = at - (np.cumsum(is_hot) - is_hot)
-                posts = token[~is_hot & (rank < size)]
+                mine = ~is_hot & (rank < size)
+                posts = [{"token": t, "at": r} for t, r in zip(token[mine], rank[mine])]
                 cold = m - int(is_hot.sum())
                 out.append((cold, posts, token[~is_hot], len(posts) == size, cold < size))
             columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_(), pa.bool_())))], ["doc_id", "n", "cold", "posts", "shared", "full", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.list_(post), pa.list_(pa.int64()), pa.bool_(), pa.bool_())))], ["doc_id", "n", "cold", "posts", "shared", "full", "short"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, cold long, posts array<long>, shared array<long>, full boolean, short boolean")
+    return rows.mapInArrow(run, "doc_id long, n long, cold long, posts array<struct<token:long,at:long>>, shared array<long>, full boolean, short boolean")
 
 
-def _pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """Distinct x, y of (id, n, posts) that share a post and whose sizes are within the threshold."""
-    left = posts.select(F.col("id").alias("x"), F.col("n").alias("xn"), F.explode("posts").alias("token"))
-    right = left.select(F.col("x").alias("y"), F.col("xn").alias("yn"), "token")
-    before = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") < F.col("y")))
-    return left.join(right, "token").where(before & (F.col("xn") * 100 >= F.col("yn") * percent)).select("x", "y").distinct()
+def _listed(posts: DataFrame) -> DataFrame:
+    """token, id, n, at of (id, n, posts)."""
+    return posts.select("id", "n", F.explode("posts").alias("p")).select("p.token", "id", "n", "p.at")
+
+
+def _may_link(xn: str, xat: str, yn: str, yat: str, percent: int) -> Column:
+    """Sizes within the threshold, and as many shingles left behind a common one as must be shared.
+
+    The first common shingle of a pair leaves most, so a pair that may link
+    passes there.
+    """
+    small, large = F.least(xn, yn), F.greatest(xn, yn)
+    return (small * 100 >= large * percent) & (F.least(F.col(xn) - F.col(xat), F.col(yn) - F.col(yat)) >= _need(F.col(xn), F.col(yn), percent))
+
+
+def _side(listed: DataFrame, p: str, *more: str) -> DataFrame:
+    return listed.select("token", F.col("id").alias(p), F.col("n").alias(f"{p}n"), F.col("at").alias(f"{p}at"), *[F.col(c).alias(f"{p}{c}") for c in more])
+
+
+def _pairs(listed: DataFrame, percent: int) -> DataFrame:
+    """Distinct x, y that share a prefix shingle and may link."""
+    met = _side(listed, "x").join(_side(listed, "y"), "token").where((F.col("x") < F.col("y")) & _may_link("xn", "xat", "yn", "yat", percent))
+    return met.select("x", "y").distinct()
+
+
+def _hub_pairs(listed: DataFrame, percent: int) -> DataFrame:
+    """Of every list, its least id with each other that it may link to."""
+    hubs = listed.groupBy("token").agg(F.min(F.struct("id", "n", "at")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", F.col("h.id").alias("x"), F.col("h.n").alias("xn"), F.col("h.at").alias("xat"))
+    met = _side(listed, "y").join(hubs, "token").where((F.col("x") < F.col("y")) & _may_link("xn", "xat", "yn", "yat", percent))
+    return met.select("x", "y").distinct()
+
+
+def _cross_pairs(listed: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list that are in different components so far."""
+    labelled = listed.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    mixed = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    labelled = cut(labelled.join(mixed, "token", "left_semi"))
+    met = _side(labelled, "x", "root").join(_side(labelled, "y", "root"), "token").where((F.col("x") < F.col("y")) & (F.col("xroot") != F.col("yroot")) & _may_link("xn", "xat", "yn", "yat", percent))
+    return met.select("x", "y").distinct()
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -113,7 +152,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     joined = docs.join(ids, docs["doc_id"] == F.col("w_id")).select("doc_id", "data", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(t, k) for t in batch.column(1).to_pylist()]
             # Of rows that share an id, the one that has the set.
             same = [i for i, (f, s) in enumerate(zip(found, batch.column(2).to_pylist())) if hashlib.blake2b(f.tobytes(), digest_size=16).digest() == s]
@@ -129,7 +168,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(xs, "x").join(ys, "y").select("x", "y", "xs", "ys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for i in range(batch.num_rows):
                 a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3))
@@ -142,21 +181,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _short_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs x, y of the short documents, over whole sets, rare shingles first."""
+def _short_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """token, id, n, at of the prefixes of short documents, over whole sets, rare shingles first."""
     tokens = sets.select("doc_id", F.explode("tokens").alias("token"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(df, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     sizes = sets.select("doc_id", F.size("tokens").cast("long").alias("n"))
     size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     # Shingles found once come before all others and join nothing.
-    left = (size - (F.col("n") - F.size("shared"))).cast("int")
-    posts = sizes.join(shared, "doc_id").where(left > 0).select(F.col("doc_id").alias("id"), "n", F.transform(F.slice("shared", 1, left), lambda s: s["token"]).alias("posts"))
-    return _pairs(cut(posts), percent)
+    once = F.col("n") - F.size("shared")
+    posts = F.transform(F.slice("shared", 1, F.greatest(size - once, F.lit(0)).cast("int")), lambda s, i: F.struct(s["token"].alias("token"), (i + once).alias("at")))
+    return _listed(sizes.join(shared, "doc_id").where(size > once).select(F.col("doc_id").alias("id"), "n", posts.alias("posts")))
+
 
+def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HOT, sketch: float = SKETCH) -> tuple[DataFrame, ...]:
+    """(rows: doc_id, sid, n; nodes: node, sid, n; links: a, b; links between their components: a, b; roots of components by the former).
 
-def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HOT, sketch: float = SKETCH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, sid, n; nodes: node, sid, n; links: a, b). A node is the least doc_id of a set."""
+    A node is the least doc_id of a set. Links inside a component may be left
+    out where it is connected already.
+    """
     data = documents(docs).select("doc_id", F.col("text").cast("binary").alias("data"))
     rows = cut(_sets(data, k, sketch))
     nodes = cut(rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("m").alias("m")))
@@ -167,14 +210,13 @@ def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HO
     prefixes = cut(_prefixes(all_rows, percent, hot).where("short or size(posts) > 0"))
 
     # Groups of equal prefixes and sizes; a prefix with a shingle of its own is a group of its own.
-    key = F.when(F.col("full"), F.xxhash64("posts", F.reverse("posts"))).otherwise(F.col("doc_id"))
+    key = F.when(F.col("full"), F.xxhash64("posts.token")).otherwise(F.col("doc_id"))
     keyed = prefixes.where("size(posts) > 0").withColumn("key", key)
     groups = cut(keyed.groupBy("full", "n", "key").agg(F.min("doc_id").alias("id"), F.first("posts").alias("posts")))
     members = cut(keyed.join(groups.select("full", "n", "key", "id"), ["full", "n", "key"]).select("id", "doc_id"))
-    pairs = _pairs(groups, percent)
+    pairs = _pairs(_listed(groups), percent)
     xs, ys = members.select(F.col("id").alias("x"), F.col("doc_id").alias("a")), members.select(F.col("id").alias("y"), F.col("doc_id").alias("b"))
     between = pairs.join(xs, "x").join(ys, "y").select("a", "b")
-    # Inside a group: members meet the group's first, and each other through it where both are linked to it; the rest below.
     within = members.join(members.select("id", F.col("doc_id").alias("b")), "id").where("doc_id < b").select(F.col("doc_id").alias("a"), "b")
     candidates = between.union(within)
     side = lambda p: prefixes.select(F.col("doc_id").alias(p), F.col("n").alias(f"{p}n"), F.col("cold").alias(f"{p}c"), F.col("shared").alias(f"{p}s"))
@@ -185,8 +227,10 @@ def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HO
     short = prefixes.where("short").select("doc_id")
     wanted = passed.select(F.col("x").alias("doc_id")).union(passed.select("y")).union(short).distinct()
     sets = cut(_whole_sets(data, wanted.join(nodes.select(F.col("node").alias("doc_id"), "sid"), "doc_id"), k))
-    more = _short_pairs(sets.join(short, "doc_id", "left_semi"), percent)
-    return rows, nodes, _verified(passed.union(more).distinct(), sets, percent)
+    lists = cut(_short_lists(sets.join(short, "doc_id", "left_semi"), percent))
+    found = cut(_verified(passed.union(_hub_pairs(lists, percent)).distinct(), sets, percent))
+    roots = components(found)
+    return rows, nodes, found, cut(_verified(_cross_pairs(lists, roots, percent), sets, percent)), roots
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HOT, sketch: float = SKETCH) -> DataFrame:
@@ -197,8 +241,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     doc_id are linked with nothing; fewer than k words are one shingle; rows
     with one doc_id are one document; an empty table gives none.
     """
-    rows, nodes, found = links(docs, k, percent, hot, sketch)
-    roots = components(found).select(F.col("node").alias("r_node"), "root")
+    rows, nodes, found, across, roots = links(docs, k, percent, hot, sketch)
+    if not across.isEmpty():
+        roots = components(found.union(across))
+    roots = roots.select(F.col("node").alias("r_node"), "root")
     placed = nodes.join(roots, nodes["node"] == F.col("r_node"), "left").select(F.col("sid").alias("p_sid"), F.coalesce("root", "node").alias("component_id"))
     out = rows.join(placed, rows["sid"] == F.col("p_sid"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("is_first", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

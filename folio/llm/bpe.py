@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from folio.llm.common import documents
+from folio.llm.common import documents, slices
 
 END = "</w>"
 _NEVER = 1 << 30
@@ -217,6 +217,10 @@ class WordBpe:
                 self._words[word] = found
         return found
 
+    def forget(self) -> None:
+        self._words.clear()
+        self._fits.clear()
+
     def prefix_counts(self, word: str) -> list[int]:
         """Exact token count of every prefix of a word, each taken as a word of its own."""
         n = len(word)
@@ -316,6 +320,11 @@ class ChunkCodec:
             self.kept[chunk] = found
         return found
 
+    def forget(self) -> None:
+        """Drop what is kept for frequent words; new texts bring new words, and idle workers should hold little."""
+        self.kept.clear()
+        self.bpe.forget()
+
     def document(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, ids joined by a space, decoded text."""
         out = []
@@ -347,10 +356,11 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = chunk_codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [codec.document(t) for t in batch.column(1).to_pylist()]
             digest = lambda k: [hashlib.sha256(r[k].encode()).hexdigest() for r in rows]  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(digest(1)), pa.array(digest(2))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -360,8 +370,9 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = chunk_codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [list(map(int, codec.document(t)[1].split())) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        codec.forget()
 
     return documents(docs).mapInArrow(run, "doc_id long, ids array<int>")

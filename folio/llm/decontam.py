@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import cut, documents
+from folio.llm.common import cut, documents, slices
 
 #: Words of documents and benchmark items, after A-Z in lower case.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -47,7 +47,7 @@ def _term_counts(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, total = shared.value.get, Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 total.update(map(get, words(text)))
         total.pop(None, None)
@@ -77,7 +77,7 @@ def _postings(docs: DataFrame, terms: dict[str, int], anchors: set[int], window:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, wanted), pad = shared.value, [-1] * (window - 1)
         get = known.get
-        for batch in batches:
+        for batch in slices(batches):
             counts, lists = [], []
             for text in batch.column(2).to_pylist():
                 ids = [get(w, -1) for w in words(text)]

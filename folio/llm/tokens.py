@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.bpe import WordBpe, load
-from folio.llm.common import documents
+from folio.llm.common import documents, slices
 
 
 class PrefixCounter:
@@ -38,6 +38,10 @@ class PrefixCounter:
             self.kept[chunk] = found
         return found
 
+    def forget(self) -> None:
+        self.kept.clear()
+        self.bpe.forget()
+
     def table(self, text: str) -> list[int]:
         """Tokens up to the end of each chunk (of each word, where the library normalises; of each special string)."""
         steps: list[int] = []
@@ -75,10 +79,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
-        for batch in batches:
+        for batch in slices(batches):
             tables = [counter.table(t) for t in batch.column(1).to_pylist()]
             totals = [t[-1] if t else 0 for t in tables]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_()), pa.array([bisect_right(t, limit) for t in tables], pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "chunks_within"])
+        counter.forget()
 
     return documents(docs).withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chunks_within long")
 
@@ -88,7 +93,8 @@ def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([counter.table(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "counts"])
+        counter.forget()
 
     return documents(docs).mapInArrow(run, "doc_id long, counts array<int>")

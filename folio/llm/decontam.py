@@ -11,7 +11,6 @@ run is a hit. A window holds its own rarest term, so none is missed.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,16 +22,15 @@ from pyspark.sql import types as T
 
 from folio.llm.common import cut, documents, slices
 
-#: Words of documents and benchmark items, after A-Z in lower case.
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Bytes of words after A-Z in lower case: digits, letters and every byte of characters past ASCII; others become spaces.
+_WORD_BYTES = bytes(b if b > 0x7F or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 WINDOW = 13
 #: Benchmark terms that a task keeps in memory; a larger benchmark is taken in that many more passes.
-TERMS_PER_PASS = 2_000_000
+TERMS_PER_PASS = 500_000
 
 
-def words(text: str) -> list[str]:
-    return WORD.findall(text.translate(_LOWER))
+def words(data: bytes) -> list[bytes]:
+    return data.translate(_WORD_BYTES).split()
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -41,19 +39,19 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.regexp_extract_all(lowered, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1)).alias("words")).where(F.size("words") > 0)
 
 
-def _term_counts(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
+def _term_counts(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
     """term, n over all documents, summed in each task first."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, total = shared.value.get, Counter()
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                total.update(map(get, words(text)))
+            for data in batch.column(0).to_pylist():
+                total.update(map(get, words(data)))
         total.pop(None, None)
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array(total.values(), pa.int64())], ["term", "n"])
 
-    return docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _anchors(items: list[tuple[str, list[int]]], counts: dict[int, int], window: int) -> list[tuple]:
@@ -68,7 +66,7 @@ def _anchors(items: list[tuple[str, list[int]]], counts: dict[int, int], window:
     return out
 
 
-def _postings(docs: DataFrame, terms: dict[str, int], anchors: set[int], window: int) -> DataFrame:
+def _postings(docs: DataFrame, terms: dict[bytes, int], anchors: set[int], window: int) -> DataFrame:
     """doc_id, row digest, n_words, postings of the anchor terms with window - 1 terms on both sides; other words are -1."""
     shared = docs.sparkSession.sparkContext.broadcast((terms, anchors))
     schema = "doc_id long, row_key long, n_words long, postings array<struct<term:int,pos:int,around:array<int>>>"
@@ -79,15 +77,15 @@ def _postings(docs: DataFrame, terms: dict[str, int], anchors: set[int], window:
         get = known.get
         for batch in slices(batches):
             counts, lists = [], []
-            for text in batch.column(2).to_pylist():
-                ids = [get(w, -1) for w in words(text)]
+            for data in batch.column(2).to_pylist():
+                ids = [get(w, -1) for w in words(data)]
                 counts.append(len(ids))
-                at = [i for i, t in enumerate(ids) if t in wanted]
+                at = [] if wanted.isdisjoint(ids) else [i for i, t in enumerate(ids) if t in wanted]
                 wide = [*pad, *ids, *pad] if at else []
                 lists.append([{"term": ids[i], "pos": i, "around": wide[i : i + 2 * window - 1]} for i in at])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(lists, pa.list_(posting))], ["doc_id", "row_key", "n_words", "postings"])
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "row_key", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def _runs(window: int):
@@ -122,7 +120,7 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
     passes = max(1, -(-int(n_terms) // terms_per_pass))
     base, hits = None, None
     for k in range(passes):
-        own = [(r["item_id"], r["words"]) for r in items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)) == k).toLocalIterator()]
+        own = [(r["item_id"], [w.encode() for w in r["words"]]) for r in items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)) == k).toLocalIterator()]
         terms = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in own for w in ws))}
         coded = [(item, [terms[w] for w in ws]) for item, ws in own]
         counts = dict(_term_counts(docs, terms).toLocalIterator()) if terms else {}

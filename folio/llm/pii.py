@@ -80,12 +80,13 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, disclosure: float = DI
     n_te = seen.where(F.col("term").isNotNull()).select("entity", "term", "line_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
     pairs = cut(n_te.join(n_e, "entity"))
 
-    # Every line of the corpus: how many there are, and in how many each candidate stands.
-    every = documents(docs).select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line") != "")
-    n = every.select(F.xxhash64("line").alias("line_key")).distinct().agg(F.count("*").alias("n"))
-    held = every.select(F.xxhash64("line").alias("line_key"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    n_t = held.join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    told = pairs.join(n_t, "term").crossJoin(F.broadcast(n))  # n is one row
+    # Every distinct line of the corpus gives its terms once, and an empty one that counts the lines. Counts are
+    # summed in tasks before they are shuffled, so common terms cost no more than others.
+    every = documents(docs).select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line") != "").distinct()
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), F.lower))
+    counts = cut(every.select(F.explode(F.array_append(terms, F.lit(""))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
+    n = counts.where(F.col("term") == "").select(F.col("n_t").alias("n"))
+    told = pairs.join(counts, "term").crossJoin(F.broadcast(n))  # n is one row
     pmi = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
     return told.where(pmi >= F.log(F.col("n") / F.col("n_e")) * disclosure).select("entity", "term"), seen
 

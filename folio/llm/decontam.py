@@ -7,6 +7,11 @@ and the benchmark terms around it. A posting meets the item positions of its
 term; the lists of the neighbouring terms are intersected at their offsets
 from there, to both sides, and every phrase of window length in the matched
 run is a hit. A window holds its own rarest term, so none is missed.
+
+Near matches: words of a window in order, all but ``slop`` of them, within a
+range of window + slop words. Of any slop + 1 words of a window one is matched,
+so the postings of its slop + 1 rarest terms meet it, within the offsets that
+the range allows, and none is missed either.
 """
 
 from __future__ import annotations
@@ -27,6 +32,10 @@ _WORD_BYTES = bytes(b if b > 0x7F or chr(b).isdigit() or chr(b).islower() else b
 WINDOW = 13
 #: Benchmark terms that a task keeps in memory; a larger benchmark is taken in that many more passes.
 TERMS_PER_PASS = 500_000
+#: Words of a window that a near match may lack, and those it may have besides; windows of under 13 words are allowed one for each six after the first.
+SLOP = 2
+#: A near pass also holds every window slop + 1 times.
+NEAR_TERMS_PER_PASS = 50_000
 
 
 def words(data: bytes) -> list[bytes]:
@@ -66,6 +75,19 @@ def _anchors(items: list[tuple[str, list[int]]], counts: dict[int, int], window:
     return out
 
 
+def _near_anchors(items: list[tuple[str, list[int]]], counts: dict[int, int], window: int, slop: int) -> list[tuple]:
+    """term, item, slop and place in the window, window, for the slop + 1 rarest places of every window; equal windows of an item once."""
+    out = {}
+    for item, terms in items:
+        span = min(window, len(terms))
+        few = min(slop, (span - 1) // 6)
+        for s in range(len(terms) - span + 1):
+            inside = tuple(terms[s : s + span])
+            at = sorted(range(span), key=lambda i: (counts.get(inside[i], 0), inside[i], i))[: few + 1]
+            out.update(((inside[i], item, few, i, inside), None) for i in at if counts.get(inside[i], 0))
+    return [(*x[:4], list(x[4])) for x in out]
+
+
 def _postings(docs: DataFrame, terms: dict[bytes, int], anchors: set[int], window: int) -> DataFrame:
     """doc_id, row digest, n_words, postings of the anchor terms with window - 1 terms on both sides; other words are -1."""
     shared = docs.sparkSession.sparkContext.broadcast((terms, anchors))
@@ -108,6 +130,61 @@ def _runs(window: int):
     return run
 
 
+def near_ranges(words: list[int], window: list[int], slop: int, first: int, last: int) -> list[tuple[int, int]]:
+    """Least ranges of words, beginning at first to last, with all but slop of the window's words in order; no longer than window + slop.
+
+    The common subsequence is counted with one bit for each word of the window.
+    """
+    masks: dict[int, int] = {}
+    for i, w in enumerate(window):
+        masks[w] = masks.get(w, 0) | 1 << i
+    full, need, longest = (1 << len(window)) - 1, len(window) - slop, len(window) + slop
+    out, after = [], len(words)
+    for a in range(last + 1, first - 1, -1):
+        if a >= len(words) or words[a] not in masks:
+            continue
+        bits, end = full, len(words)
+        # The range from a + 1 on ends at ``after``; the one from a ends there at the latest.
+        for b in range(a, min(after + 1, a + longest, len(words))):
+            m = bits & masks.get(words[b], 0)
+            if m:
+                bits = ((bits + m) | (bits - m)) & full
+                if len(window) - bits.bit_count() >= need:
+                    end = b
+                    break
+        if end < after:
+            if a <= last:
+                out.append((a, end))
+            after = end
+    return out
+
+
+def _near_runs(side: int):
+    """Near matches of postings that have met windows: doc_id, row_key, item_id, first and last word."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = set()
+            for doc, key, pos, around, item, slop, place, terms in rows.itertuples(index=False):
+                start = side - place - 2 * slop
+                near = around[start : start + len(terms) + 4 * slop].tolist()
+                for a, b in near_ranges(near, terms.tolist(), slop, 0, place + 2 * slop):
+                    out.add((doc, key, item, pos - side + start + a, pos - side + start + b))
+            yield pd.DataFrame(list(out), columns=["doc_id", "row_key", "item_id", "first", "last"])
+
+    return run
+
+
+def _passes(items: DataFrame, terms_per_pass: int) -> Iterator[tuple[dict[bytes, int], list[tuple[str, list[int]]]]]:
+    """(vocabulary, items with their terms by number) of every pass."""
+    n_terms = items.agg(F.sum(F.size("words"))).head()[0] or 0
+    passes = max(1, -(-int(n_terms) // terms_per_pass))
+    for k in range(passes):
+        own = [(r["item_id"], [w.encode() for w in r["words"]]) for r in items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)) == k).toLocalIterator()]
+        terms = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in own for w in ws))}
+        yield terms, [(item, [terms[w] for w in ws]) for item, ws in own]
+
+
 def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, terms_per_pass: int = TERMS_PER_PASS) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, row_key, n_words; hits: doc_id, row_key, item_id, first, last hit word).
 
@@ -116,13 +193,8 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
     """
     docs = documents(docs).withColumn("row_key", F.xxhash64("text"))
     items = cut(_items(benchmark))
-    n_terms = items.agg(F.sum(F.size("words"))).head()[0] or 0
-    passes = max(1, -(-int(n_terms) // terms_per_pass))
     base, hits = None, None
-    for k in range(passes):
-        own = [(r["item_id"], [w.encode() for w in r["words"]]) for r in items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)) == k).toLocalIterator()]
-        terms = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in own for w in ws))}
-        coded = [(item, [terms[w] for w in ws]) for item, ws in own]
+    for terms, coded in _passes(items, terms_per_pass):
         counts = dict(_term_counts(docs, terms).toLocalIterator()) if terms else {}
         anchors = _anchors(coded, counts, window)
         index = cut(_postings(docs, terms, {a[0] for a in anchors}, window))
@@ -137,6 +209,28 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
     return base, hits
 
 
+def find_near(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, terms_per_pass: int = NEAR_TERMS_PER_PASS) -> tuple[DataFrame, DataFrame]:
+    """As find_phrases, for near matches."""
+    docs = documents(docs).withColumn("row_key", F.xxhash64("text"))
+    items = cut(_items(benchmark))
+    side = window - 1 + 2 * slop
+    base, hits = None, None
+    for terms, coded in _passes(items, terms_per_pass):
+        counts = dict(_term_counts(docs, terms).toLocalIterator()) if terms else {}
+        anchors = _near_anchors(coded, counts, window, slop)
+        index = cut(_postings(docs, terms, {a[0] for a in anchors}, side + 1))
+        positions = docs.sparkSession.createDataFrame(anchors, "term int, item_id string, slop int, place int, terms array<int>")
+        met = index.select("doc_id", "row_key", F.explode("postings").alias("p")).select("doc_id", "row_key", F.col("p.term").alias("term"), F.col("p.pos").alias("pos"), F.col("p.around").alias("around"))
+        met = met.join(F.broadcast(positions), "term")
+        # A word of the window that isn't around the posting is lacking wherever it stands in it.
+        around = F.slice("around", F.lit(side + 1) - F.col("place") - 2 * F.col("slop"), F.size("terms") + 4 * F.col("slop"))
+        met = met.where(F.size(F.array_except("terms", around)) <= F.col("slop")).select("doc_id", "row_key", "pos", "around", "item_id", "slop", "place", "terms")
+        found = met.mapInPandas(_near_runs(side), "doc_id long, row_key long, item_id string, first int, last int")
+        base = index.select("doc_id", "row_key", "n_words") if base is None else base
+        hits = found if hits is None else hits.unionByName(found)
+    return base, hits
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, terms_per_pass: int = TERMS_PER_PASS) -> DataFrame:
     """One row per document: doc_id, row_key, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words).
 
@@ -144,7 +238,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     windows; repeated documents give repeated rows; items with equal texts
     both count; an empty benchmark hits nothing.
     """
-    base, hits = find_phrases(docs, benchmark, window, terms_per_pass)
+    return _per_document(*find_phrases(docs, benchmark, window, terms_per_pass), share)
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, share: int = 20, terms_per_pass: int = NEAR_TERMS_PER_PASS) -> DataFrame:
+    """One row per document: doc_id, row_key, n_words, n_near, n_near_items, near_items_sha256, near_contaminated.
+
+    As contamination, with near matches for hits; exact hits are near matches too.
+    """
+    found = _per_document(*find_near(docs, benchmark, window, slop, terms_per_pass), share)
+    return found.withColumnsRenamed({"n_hit": "n_near", "n_items": "n_near_items", "items_sha256": "near_items_sha256", "contaminated": "near_contaminated"})
+
+
+def _per_document(base: DataFrame, hits: DataFrame, share: int) -> DataFrame:
     hits = hits.distinct()
     # Union of the runs of a document: a run adds what lies past the furthest end before it.
     key = ["doc_id", "row_key"]

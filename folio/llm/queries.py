@@ -57,8 +57,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
+def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near matches besides; op10_decontamination keeps the columns its SQL has."""
+    return decontam.proximity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_dedup, op3_quality_rules, op4_token_counts, op5_line_dedup, op6_secret_scans, op7_bpe_codec, op8_personal_data, op9_chat_formatting, op10_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_dedup, op3_quality_rules, op4_token_counts, op5_line_dedup, op6_secret_scans, op7_bpe_codec, op8_personal_data, op9_chat_formatting, op10_decontamination, op10_proximity)}
 
 
 def oracle_sql() -> dict[str, str]:

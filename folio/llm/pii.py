@@ -1,13 +1,15 @@
 """Personal data and the terms that give it away, in DataFrame operations only.
 
 Patterns find the protected entities. The unit of co-occurrence is a distinct
-line of the corpus, so copies don't count twice. With n lines of all, n_e that
-hold the entity, n_t that hold a term and n_te that hold both, the term tells
+line of the corpus with its neighbours, the nearest lines that aren't empty:
+copies of a text don't count twice, copies of a line in other surroundings do.
+With n units of all, n_e that hold the entity in the line or beside it, n_t
+that hold a term in the line and n_te with both, the term tells
 PMI = log(n_te * n / (n_t * n_e)) of the entity's information
-IC = log(n / n_e). Beside an entity, terms of which PMI reaches ``disclosure``
-times IC, on at least ``support`` lines, are spans too: the rarer a term is
-elsewhere, the surer it points to the entity. Spans are replaced by their
-kind, terms are removed.
+IC = log(n / n_e). Terms of which PMI reaches ``disclosure`` times IC for some
+entity, on at least ``support`` units, are spans wherever they stand, also in
+documents without the entity: the rarer a term is elsewhere, the surer it
+points to the entity. Spans are replaced by their kind, terms are removed.
 """
 
 from __future__ import annotations
@@ -50,57 +52,85 @@ def base_matches(text: Column) -> dict[str, Column]:
     }
 
 
+def _lines(text: Column) -> Column:
+    """array<struct<at, line>> of the lines that aren't empty."""
+    return F.aggregate(F.split(text, "\n"), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,line:string>>").alias("out")), lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.when(x == "", s["out"]).otherwise(F.array_append(s["out"], F.struct(s["at"].alias("at"), x.alias("line")))).alias("out")), lambda s: s["out"])
+
+
+def _unit(before: Column, line: Column, after: Column) -> Column:
+    return F.xxhash64(F.coalesce(before, F.lit("")), line, F.coalesce(after, F.lit("")))
+
+
 def _scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, the base matches by kind, and of documents that have any the lines with their places."""
+    """doc_id, text_key, the base matches by kind, and of documents that have any the lines that hold or touch one, with their units and places."""
     rows = documents(docs).withColumn("text_key", F.xxhash64("text"))
     rows = rows.select("doc_id", "text_key", "text", *[v.alias(k) for k, v in base_matches(F.col("text")).items()])
-    lines = F.split("text", "\n")
-    placed = F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,line:string>>").alias("out")), lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("at"), x.alias("line"))).alias("out")), lambda s: s["out"])
 
     def entities(kind: str) -> Column:
         value = _digits if kind in ("card", "phone") else F.lower
         return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), value(s["m"]).alias("value"), s["start"].alias("start"), s["end"].alias("end")))
 
-    base = F.concat(*map(entities, KINDS[:4]))
-    with_base = F.filter(placed, lambda x: F.exists("base", lambda s: (s["start"] >= x["at"]) & (s["start"] < x["at"] + F.length(x["line"]))))
-    return rows.withColumn("base", base).select("doc_id", "text_key", "base", F.when(F.size("base") > 0, with_base).otherwise(F.array().cast("array<struct<at:int,line:string>>")).alias("lines"))
+    schema = "array<struct<at:int,line:string,unit:long,low:int,high:int>>"
+    rows = rows.withColumn("base", F.concat(*map(entities, KINDS[:4])))
+    rows = rows.select("doc_id", "text_key", "base", F.when(F.size("base") > 0, _lines(F.col("text"))).alias("placed"))
+    beside = lambda i: F.get("placed", i)
+    high = lambda x: x["at"] + F.length(x["line"])
+    lines = F.transform("placed", lambda x, i: F.struct(x["at"].alias("at"), x["line"].alias("line"), _unit(beside(i - 1)["line"], x["line"], beside(i + 1)["line"]).alias("unit"), F.coalesce(beside(i - 1)["at"], x["at"]).alias("low"), F.coalesce(high(beside(i + 1)), high(x)).alias("high")))
+    near = F.filter(lines, lambda x: F.exists("base", lambda s: (s["start"] >= x["low"]) & (s["start"] < x["high"])))
+    return rows.select("doc_id", "text_key", "base", F.coalesce(near, F.array()).cast(schema).alias("lines"))
+
+
+def _free(words: Column, base: Column) -> Column:
+    return F.filter(words, lambda w: ~F.exists(base, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+
+
+def _words(line: Column, at: Column) -> Column:
+    return F.transform(matches(line, TERM), lambda m: F.struct(F.lower(m["m"]).alias("term"), (m["start"] + at).alias("start"), (m["end"] + at).alias("end")))
 
 
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """(entity, term pairs above the threshold; term occurrences: doc_id, text_key, entity, term, start, end)."""
-    lines = scanned.where(F.size("base") > 0).select("doc_id", "text_key", "base", F.explode("lines").alias("l"))
-    inside = F.filter("base", lambda s: (s["start"] >= F.col("l.at")) & (s["start"] < F.col("l.at") + F.length("l.line")))
-    words = F.transform(matches(F.col("l.line"), TERM), lambda m: F.struct(F.lower(m["m"]).alias("term"), (m["start"] + F.col("l.at")).alias("start"), (m["end"] + F.col("l.at")).alias("end")))
-    rows = lines.select("doc_id", "text_key", F.xxhash64("l.line").alias("line_key"), inside.alias("base"), words.alias("words"))
-    free = F.filter("words", lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    seen = rows.select("doc_id", "text_key", "line_key", free.alias("words"), F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
-    seen = cut(seen.select("doc_id", "text_key", "line_key", "entity", F.explode_outer("words").alias("w")).select("doc_id", "text_key", "line_key", "entity", "w.term", "w.start", "w.end"))
+def disclosing_terms(docs: DataFrame, scanned: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """entity, term pairs above the threshold."""
+    lines = scanned.where(F.size("base") > 0).select("base", F.explode("lines").alias("l")).withColumn("words", _words(F.col("l.line"), F.col("l.at")))
+    near = F.filter("base", lambda s: (s["start"] >= F.col("l.low")) & (s["start"] < F.col("l.high")))
+    terms = F.array_distinct(F.transform(_free(F.col("words"), F.col("base")), lambda w: w["term"]))
+    rows = lines.select(F.col("l.unit").alias("unit"), terms.alias("terms"), F.explode(F.array_distinct(F.transform(near, lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
+    seen = cut(rows.groupBy("entity", "unit").agg(F.first("terms").alias("terms")))
 
-    n_e = seen.select("entity", "line_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    n_te = seen.where(F.col("term").isNotNull()).select("entity", "term", "line_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    n_e = seen.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    n_te = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
     pairs = cut(n_te.join(n_e, "entity"))
 
-    # Every distinct line of the corpus gives its terms once, and an empty one that counts the lines. Counts are
+    # Every unit of the corpus gives the terms of its line once, and an empty one that counts the units. Counts are
     # summed in tasks before they are shuffled, so common terms cost no more than others.
-    every = documents(docs).select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line") != "").distinct()
+    every = documents(docs).select(F.filter(F.split("text", "\n"), lambda x: x != "").alias("lines"))
+    units = F.transform("lines", lambda x, i: F.struct(_unit(F.get("lines", i - 1), x, F.get("lines", i + 1)).alias("unit"), x.alias("line")))
+    every = every.select(F.explode(units).alias("u")).groupBy("u.unit").agg(F.first("u.line").alias("line"))
     terms = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), F.lower))
     counts = cut(every.select(F.explode(F.array_append(terms, F.lit(""))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
     n = counts.where(F.col("term") == "").select(F.col("n_t").alias("n"))
     told = pairs.join(counts, "term").crossJoin(F.broadcast(n))  # n is one row
     pmi = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
-    return told.where(pmi >= F.log(F.col("n") / F.col("n_e")) * disclosure).select("entity", "term"), seen
+    return told.where(pmi >= F.log(F.col("n") / F.col("n_e")) * disclosure).select("entity", "term")
 
 
 def personal_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """One row per document: doc_id, text_key, base and terms (arrays of kind, start, end)."""
     scanned = cut(_scanned(docs))
-    pairs, seen = disclosing_terms(docs, scanned, disclosure, support)
+    told = cut(disclosing_terms(docs, scanned, disclosure, support).select("term").distinct())
+    # The distinct terms are few: their table is sent to the words of all documents while it is small.
+    lines = documents(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(_lines(F.col("text"))).alias("l"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("l.line", F.lit(TERM), F.lit(0)), F.lower))
+    met = lines.select("*", F.explode(words).alias("term")).join(told, "term")
+    # Places are worked out on lines that hold such a term only.
+    met = met.select("doc_id", "text_key", "term", F.explode(_words(F.col("l.line"), F.col("l.at"))).alias("w"))
+    found = met.where(F.col("w.term") == F.col("term")).select("doc_id", "text_key", "w.start", "w.end")
     term = F.struct(F.lit("term").alias("kind"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    terms = seen.join(pairs, ["entity", "term"]).groupBy("doc_id", "text_key").agg(F.collect_set(term).alias("terms")).select(F.col("doc_id").alias("t_id"), F.col("text_key").alias("t_key"), "terms")
+    terms = found.groupBy("doc_id", "text_key").agg(F.collect_set(term).alias("terms")).select(F.col("doc_id").alias("t_id"), F.col("text_key").alias("t_key"), "terms")
     base = in_order(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))), KINDS)
     none = F.array().cast("array<struct<kind:string,start:long,end:long>>")
     joined = scanned.join(terms, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_key") == F.col("t_key")), "left")
-    return joined.select("doc_id", "text_key", base.alias("base"), F.coalesce("terms", none).alias("terms"))
+    joined = joined.withColumn("terms", F.coalesce("terms", none))
+    return joined.select("doc_id", "text_key", base.alias("base"), _free(F.col("terms"), F.col("base")).alias("terms"))
 
 
 def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:

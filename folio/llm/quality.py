@@ -21,8 +21,9 @@ from folio.llm.common import cut, slices
 SYMBOL = re.compile(r"[#*$%&|<>]")
 _SPACE = "\x20\t\n\x0b\x0c\r"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A line is boilerplate when it stands in over MIN_DOCS distinct documents of a host and in over MIN_SHARE of them.
-MIN_DOCS, MIN_SHARE = 20, 0.05
+#: A line is boilerplate when it stands in over MIN_DOCS distinct documents of a host and in over MIN_SHARE of them,
+#: or in over MANY_DOCS, whatever the host's size; that decides in hosts of over MANY_DOCS / MIN_SHARE documents only.
+MIN_DOCS, MIN_SHARE, MANY_DOCS = 20, 0.05, 1000
 #: A document is depleted when under KEPT_SHARE of its words, or under MIN_WORDS words, are left.
 KEPT_SHARE, MIN_WORDS = 0.3, 10
 SALTS = 16
@@ -77,15 +78,15 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "host", "text", "lines", "text_key").mapInArrow(run, "doc_id long, host string, text_key long, lines array<struct<h:long,w:int>>, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean")
 
 
-def boilerplate(base: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def boilerplate(base: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
     """host, h of lines above the limits. Documents with the same text in a host are one document."""
     distinct = base.groupBy("host", "text_key").agg(F.first(F.array_distinct(F.transform("lines", lambda s: s["h"]))).alias("hs"))
     hosts = distinct.groupBy("host").agg(F.count("*").alias("n_docs")).select(F.col("host").alias("of"), "n_docs")
     counts = distinct.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    return counts.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("n_docs") * min_share).select("host", "h")
+    return counts.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where((F.col("n") > F.col("n_docs") * min_share) | (F.col("n") > many_docs)).select("host", "h")
 
 
-def quality(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, kept_share: float = KEPT_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
+def quality(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, kept_share: float = KEPT_SHARE, min_words: int = MIN_WORDS, many_docs: int = MANY_DOCS) -> DataFrame:
     """One row per document: doc_id, text_key, the contract's counts, base_failed, n_boilerplate_words, boilerplate (hashes of its removed lines), kept.
 
     A null text has no words and fails the base rules; a null source is a
@@ -93,7 +94,7 @@ def quality(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SH
     give repeated results; an empty table gives none.
     """
     base = cut(base_rules(docs))
-    bad = cut(boilerplate(base, min_docs, min_share))
+    bad = cut(boilerplate(base, min_docs, min_share, many_docs))
     # A hot line meets its one row in SALTS parts.
     lines = base.select("doc_id", "text_key", "host", F.explode("lines").alias("l")).select("doc_id", "text_key", "host", F.col("l.h").alias("h"), F.col("l.w").alias("w"), F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).alias("salt"))
     salted = bad.select(F.col("host").alias("of"), F.col("h").alias("bad_h"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("bad_salt"))

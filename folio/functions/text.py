@@ -23,6 +23,12 @@ def strip_version(x: Column) -> Column:
     return F.regexp_replace(x, r"v\d+\z", "")
 
 
+def five_digits(number: Column) -> Column:
+    """At least five digits; longer numbers stay whole."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(5), F.length(digits)), F.lit("0"))
+
+
 def group_of(code: Column) -> Column:
     archive = F.substring_index(code, ".", 1)
     return F.when(archive.isin(PHYSICS), F.lit("physics")).otherwise(archive)

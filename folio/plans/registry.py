@@ -143,7 +143,7 @@ _REQ = f"req AS (SELECT o_orderkey AS ord, {_ID_OF} AS id, '24' || lpad((o_custk
 
 def _requests(s: SparkSession, d: str) -> DataFrame:
     c = F.col("o_custkey")
-    base = F.concat(F.lit("24"), F.lpad((c % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad(c.cast("string"), 5, "0"))
+    base = F.concat(F.lit("24"), F.lpad((c % 12 + 1).cast("string"), 2, "0"), F.lit("."), T.five_digits(c))
     return s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("ord"), F.concat(base, F.when(F.col("o_orderkey") % 3 == 0, F.lit("v1")).otherwise(F.lit(""))).alias("id"))
 
 

@@ -60,7 +60,7 @@ def papers_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = F.array(*[F.lit(c[1]) for c in schema.CATEGORIES])
     n = len(schema.CATEGORIES)
     i = F.col("doc_id")
-    base = F.concat(F.lit("24"), F.lpad((i % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad(i.cast("string"), 5, "0"))
+    base = F.concat(F.lit("24"), F.lpad((i % 12 + 1).cast("string"), 2, "0"), F.lit("."), T.five_digits(i))
     pick = lambda k: F.element_at(codes, (k % n + 1).cast("int"))
     day = lambda d: F.concat(F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), d.cast("int")), "yyyy-MM-dd"), F.lit("T00:00:00Z"))
     published = (i * 37) % 1500
@@ -84,7 +84,7 @@ def renderings_of_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
     """(native, mirror) renderings: base_id, status, html. Pages stand for papers of the same number; statuses vary by page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
     i = F.col("page_id")
-    base = F.concat(F.lit("24"), F.lpad((i % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad(i.cast("string"), 5, "0"))
+    base = F.concat(F.lit("24"), F.lpad((i % 12 + 1).cast("string"), 2, "0"), F.lit("."), T.five_digits(i))
     noisy = F.replace(F.replace(F.replace(F.col("html"), F.lit("<p>"), F.lit('<p class="ltx_para" id="p1">')), F.lit("<h1>"), F.lit('<h1 class="ltx_title ltx_title_section" id="h">')), F.lit("</p>"), F.lit('</p><br class="ltx_break"/><br/>'))
     native = pages.where(i % 3 != 0).select(base.alias("base_id"), F.when(i % 11 == 0, 503).when(i % 7 == 0, 404).otherwise(200).alias("status"), noisy.alias("html"))
     mirror = pages.where(i % 3 != 1).select(base.alias("base_id"), F.when(i % 13 == 0, 307).otherwise(200).alias("status"), noisy.alias("html"))

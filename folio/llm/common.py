@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,13 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MULT = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)]).astype(np.int8)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share. Where the session names none, a temporary one, in local mode only: other machines couldn't see it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = getattr(spark.sparkContext, "_folio_dir", None)
         if not where:
             where = tempfile.mkdtemp(prefix="folio-")
@@ -37,6 +40,50 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once nothing reads them any more."""
+    for table in tables:
+        session = table.sparkSession
+        for where in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if where.rpartition("/")[2].startswith("folio-"):
+                path = session._jvm.org.apache.hadoop.fs.Path(where)
+                path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """row (all columns, so that no name of theirs can clash with one of ours), id, text (null is empty) and text_key."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+
+
+def unpacked(rows: DataFrame, text: Column, changed: Column) -> DataFrame:
+    """The columns of the packed documents as they were; where changed, the text and (if there is one) n_chars are new."""
+    row = F.col("row").withField("text", F.when(changed, text).otherwise(F.col("row.text").cast("string")))
+    kinds = {f.name.lower(): f.dataType for f in rows.schema["row"].dataType.fields}
+    if "n_chars" in kinds:
+        row = row.withField("n_chars", F.when(changed, F.length(text).cast(kinds["n_chars"])).otherwise(F.col("row.n_chars")))
+    return rows.select(row.alias("row")).select("row.*")
+
+
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words between ASCII white space begin and end."""
+    space = np.ones(len(data) + 2, np.int8)
+    space[1:-1] = _IS_SPACE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(np.diff(space))
+    return edges[::2], edges[1::2]
+
+
+def word_blocks(data: bytes, k: int, size: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, ByteHashes, np.ndarray, np.ndarray]]:
+    """Of every block of words, k - 1 of the next one included: where its words begin and end in the text, and hashes of its
+    words joined by single spaces, with their begins and ends there. Only one block is hashed at a time."""
+    starts, ends = word_places(data)
+    for s in range(0, len(starts) - k + 1, size):
+        own = slice(s, min(len(starts), s + size + k - 1))
+        sizes = ends[own] - starts[own]
+        to = np.cumsum(sizes + 1) - 1
+        yield starts[own], ends[own], ByteHashes(b" ".join(data[starts[s] : ends[own][-1]].split())), to - sizes, to
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id and the whole text; a null text is empty. Other columns, whatever their names, are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -54,11 +54,13 @@ kept AS (SELECT l.doc_id, string_agg(x, chr(10) ORDER BY l.i) AS t FROM l ANTI J
 SELECT d.doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n_lines, coalesce(g.n, 0) AS n_removed, octet_length(encode(coalesce(t, ''))) AS n_bytes_kept, sha256(coalesce(t, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON d.doc_id = g.doc_id"""
 
-OP2 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+OP2 = r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 s AS (SELECT doc_id, p, md5(substring(x, 2 * p + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS p FROM d)),
 twice AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM s) WHERE c > 1),
 runs AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS fresh FROM twice)) GROUP BY doc_id, run),
 gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM runs UNION ALL SELECT d.doc_id, coalesce(max(b), 0), length(any_value(x)) // 2 FROM d LEFT JOIN runs r ON d.doc_id = r.doc_id GROUP BY d.doc_id),
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+said AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 51)) AS q FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM (SELECT doc_id, p, md5(array_to_string(w[p:p + 50], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 49)) AS p FROM w))) WHERE c > 1) GROUP BY doc_id),
 kept AS (SELECT g.doc_id, string_agg(substring(x, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS k FROM gaps g JOIN d ON g.doc_id = d.doc_id GROUP BY g.doc_id)
-SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(r.removed, 0)::bigint AS n_removed, coalesce(r.n, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
-FROM d JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n, sum(b - a) AS removed FROM runs GROUP BY doc_id) r ON d.doc_id = r.doc_id"""
+SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(r.removed, 0)::bigint AS n_removed, coalesce(r.n, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256, coalesce(said.n, 0) AS n_passage_words
+FROM d JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN said ON d.doc_id = said.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n, sum(b - a) AS removed FROM runs GROUP BY doc_id) r ON d.doc_id = r.doc_id"""

@@ -2,7 +2,8 @@
 
 Positions get ranks of growing length, and a position that is unique at one
 length is never looked at again. A rank is the 64-bit hash of its bytes, so
-ranking needs a hash shuffle and no global sort.
+ranking needs a hash shuffle and no global sort; results are exact but for
+collisions of these hashes.
 
 1. Length 100. In every string of ``width`` bytes, the 100-byte string with
    the least hash is its anchor: equal strings have equal anchors at equal
@@ -18,7 +19,16 @@ ranking needs a hash shuffle and no global sort.
 4. What is left, at the borders, is ranked at the full width.
 
 Only one context of each kind is looked at in 3 and 4, and copies were
-counted before, so large groups of copies cost no more than small ones.
+counted before, so large groups of copies cost no more than small ones. A
+rank is counted with partial sums and its row is written to a table; Spark can
+then split the rows of a hot rank when they are joined to it.
+
+Passages of ``passage`` words go the same way with words for bytes (white
+space between them doesn't count), anchors of 13 words, and no cells, as an
+anchor stands for some 39 offsets at most. They are reported, not removed.
+
+A text is taken in blocks of 4 MB: a border splits a context in two, and both
+halves are ranked as contexts of their own, so nothing is lost there.
 """
 
 from __future__ import annotations
@@ -31,77 +41,95 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import ByteHashes, cut
+from folio.llm.common import ByteHashes, cut, drop, slices, word_blocks
 
 WIDTH, GRAM, CELL = 400, 100, 25
+#: Words of a passage, and of the string that anchors it.
+PASSAGE, PASSAGE_GRAM = 51, 13
 _BLOCK = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
+_BY_WORD = np.uint64(0x5851F42D4C957F2D)
+_ANCHOR = "h long, context long, most int, least int, first int, last int"
+
+
+def _least(ranks: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of the least rank of each of n windows of k ranks: (places, first window, last window) where it changes."""
+    keys = (ranks & ~_LOW) | np.arange(len(ranks), dtype=np.uint64)
+    padded = np.full(-(-len(keys) // k) * k, np.iinfo(np.uint64).max, np.uint64)
+    padded[: len(keys)] = keys
+    grid = padded.reshape(-1, k)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    of = (np.minimum(back[:n], ahead[k - 1 : k - 1 + n]) & _LOW).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    return of[first], first, np.concatenate((first[1:] - 1, [n - 1]))
 
 
-def anchors(data: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of every anchor: place, hash, largest and least offset of its strings (anchor minus start), hash of the context."""
-    n = len(data) - width + 1
-    if n < 1:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    hashes = ByteHashes(data)
-    ranks, k = hashes.windows(gram), width - gram + 1
-    found = []
-    for s in range(0, n, _BLOCK):
-        own = ranks[s : min(n, s + _BLOCK) + k - 1]
-        keys = (own & ~_LOW) | np.arange(len(own), dtype=np.uint64)
-        padded = np.full(-(-len(keys) // k) * k, np.iinfo(np.uint64).max, np.uint64)
-        padded[: len(keys)] = keys
-        grid = padded.reshape(-1, k)
-        ahead = np.minimum.accumulate(grid, axis=1).ravel()
-        back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(back[: len(own) - k + 1], ahead[k - 1 : len(own)])
-        found.append((least & _LOW).astype(np.int64) + s)
-    of = np.concatenate(found)
-    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-    last = np.concatenate((first[1:] - 1, [n - 1]))
-    at = of[first]
-    return at, ranks[at], at - first, at - last, hashes.of(first, last + width)
+def anchors(data: bytes, width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of every anchor: hash, hash of the context, largest and least offset of its strings (anchor minus start), where the context begins and ends."""
+    for s in range(0, len(data) - width + 1, _BLOCK):
+        own = data[s : s + _BLOCK + width - 1]
+        hashes = ByteHashes(own)
+        ranks = hashes.windows(gram)
+        at, first, last = _least(ranks, len(own) - width + 1, width - gram + 1)
+        yield ranks[at], hashes.of(first, last + width), at - first, at - last, first + s, last + width + s
+
+
+def word_anchors(data: bytes, passage: int = PASSAGE, gram: int = PASSAGE_GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """As anchors(), of the strings of ``passage`` words; offsets are words, where a context begins and ends are bytes."""
+    for starts, ends, hashes, begin, end in word_blocks(data, passage):
+        n = len(starts) - passage + 1
+        ranks = hashes.of(begin[: len(begin) - gram + 1], end[gram - 1 :])
+        place, first, last = _least(ranks, n, passage - gram + 1)
+        to = last + passage - 1
+        yield ranks[place] ^ _BY_WORD, hashes.of(begin[first], end[to]), place - first, place - last, starts[first], ends[to]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _anchor_rows(docs: DataFrame, width: int, gram: int) -> DataFrame:
+def _anchor_rows(docs: DataFrame, width: int, gram: int, passage: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [anchors(t, width, gram) for t in batch.column(2).to_pylist()]
-            row = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
-            if not len(row):
-                continue
-            at, h, most, least, context = (np.concatenate(x) for x in zip(*parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(at), _signed(h), pa.array(most.astype(np.int32)), pa.array(least.astype(np.int32)), _signed(context)], ["doc_id", "text_key", "at", "h", "most", "least", "context"])
+        for batch in slices(batches):
+            rows, parts, by_word = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                for words in (False, True) if passage else (False,):
+                    for part in word_anchors(text, passage) if words else anchors(text, width, gram):
+                        rows.append(np.full(len(part[0]), i)), parts.append(part), by_word.append(np.full(len(part[0]), words))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                h, context, *places = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(by_word)), _signed(h), _signed(context), *(pa.array(p.astype(np.int32)) for p in places)], ["doc_id", "text_key", "by_word", "h", "context", "most", "least", "first", "last"])
 
-    return docs.select("doc_id", "text_key", "data").mapInArrow(run, "doc_id long, text_key long, at long, h long, most int, least int, context long")
+    return docs.select("doc_id", "text_key", "data").mapInArrow(run, f"doc_id long, text_key long, by_word boolean, {_ANCHOR}")
 
 
-def _context_bytes(docs: DataFrame, edges: DataFrame, width: int) -> DataFrame:
+def _context_bytes(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """The bytes of the contexts in edges, taken from their documents."""
-    wanted = edges.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "h", "most", "least", "once")).alias("anchors")).select(F.col("doc_id").alias("e_id"), F.col("text_key").alias("e_key"), "anchors")
-    # A repeated row gives its contexts once.
+    wanted = edges.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("by_word", "first", "last", "h", "most", "least", "once")).alias("anchors")).select(F.col("doc_id").alias("e_id"), F.col("text_key").alias("e_key"), "anchors")
     texts = docs.select("doc_id", "text_key", "data")
     joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("text_key") == F.col("e_key"))).select("doc_id", "text_key", "data", "anchors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             docs_, keys, texts_, lists = (c.to_pylist() for c in batch.columns)
-            out = [(d, k, a["at"], a["h"], a["most"], a["least"], a["once"], t[a["at"] - a["most"] : a["at"] - a["least"] + width]) for d, k, t, found in zip(docs_, keys, texts_, lists) for a in found]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], ["doc_id", "text_key", "at", "h", "most", "least", "once", "data"])
+            out = [(d, k, a["by_word"], a["first"], a["h"], a["most"], a["least"], a["once"], t[a["first"] : a["last"]]) for d, k, t, found in zip(docs_, keys, texts_, lists) for a in found]
+            for s in range(0, len(out), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(zip(*out[s : s + 100_000]), (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], ["doc_id", "text_key", "by_word", "first", "h", "most", "least", "once", "data"])
+
+    # A repeated row gives its contexts once.
+    return joined.mapInArrow(run, "doc_id long, text_key long, by_word boolean, first int, h long, most int, least int, once boolean, data binary").dropDuplicates(["doc_id", "text_key", "by_word", "first"])
+
 
-    return joined.mapInArrow(run, "doc_id long, text_key long, at long, h long, most int, least int, once boolean, data binary")
+_KEY = ["doc_id", "text_key"]
 
 
 def _cells(contexts: DataFrame, width: int, cell: int) -> DataFrame:
     """A row for each context and cell of its offsets: hash of the core, hash of the hull (null if the cell is cut short)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 5000):
             most, least = (batch.column(k).to_pylist() for k in (4, 5))
             rows, ks, lows, highs, cores, hulls = [], [], [], [], [], []
             for i, data in enumerate(batch.column(7).to_pylist()):
@@ -116,66 +144,97 @@ def _cells(contexts: DataFrame, width: int, cell: int) -> DataFrame:
             if rows:
                 take = pa.array(np.concatenate(rows))
                 hull = np.concatenate(hulls)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in (0, 1, 2, 3, 6)], pa.array(np.concatenate(ks).astype(np.int32)), pa.array(np.concatenate(lows).astype(np.int32)), pa.array(np.concatenate(highs).astype(np.int32)), _signed(np.concatenate(cores)), pa.array(hull.view(np.int64), mask=hull == 0)], ["doc_id", "text_key", "at", "h", "once", "k", "low", "high", "core", "hull"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in (0, 1, 2, 3, 4, 6)], pa.array(np.concatenate(ks).astype(np.int32)), pa.array(np.concatenate(lows).astype(np.int32)), pa.array(np.concatenate(highs).astype(np.int32)), _signed(np.concatenate(cores)), pa.array(hull.view(np.int64), mask=hull == 0)], ["doc_id", "text_key", "first", "h", "most", "once", "k", "low", "high", "core", "hull"])
 
-    return contexts.mapInArrow(run, "doc_id long, text_key long, at long, h long, once boolean, k int, low int, high int, core long, hull long")
+    rows = contexts.where("not by_word").select("doc_id", "text_key", "first", "h", "most", "least", "once", "data")
+    return rows.mapInArrow(run, "doc_id long, text_key long, first int, h long, most int, once boolean, k int, low int, high int, core long, hull long")
 
 
 def _strings(contexts: DataFrame, open_cells: DataFrame, width: int) -> DataFrame:
     """Hashes at the full width of the offsets of open cells."""
-    key = ["doc_id", "text_key", "at"]
+    key = ["doc_id", "text_key", "first"]
     wanted = open_cells.groupBy(*key).agg(F.collect_list(F.struct("low", "high")).alias("cells")).select(*[F.col(k).alias(f"c_{k}") for k in key], "cells")
-    joined = contexts.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & (F.col("text_key") == F.col("c_text_key")) & (F.col("at") == F.col("c_at"))).select("doc_id", "text_key", "at", "h", "most", "least", "once", "data", "cells")
+    contexts = contexts.where("not by_word")
+    joined = contexts.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & (F.col("text_key") == F.col("c_text_key")) & (F.col("first") == F.col("c_first"))).select("doc_id", "text_key", "h", "first", "most", "once", "data", "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            most = batch.column(4).to_pylist()
-            rows, offsets, ranks = [], [], []
-            for i, (data, cells) in enumerate(zip(batch.column(7).to_pylist(), batch.column(8).to_pylist())):
+        for batch in slices(batches, 2000):
+            most, first = batch.column(4).to_pylist(), batch.column(3).to_pylist()
+            rows, offsets, ranks, begins = [], [], [], []
+            for i, (data, cells) in enumerate(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist())):
                 o = np.concatenate([np.arange(c["low"], c["high"] + 1) for c in cells])
-                offsets.append(o), rows.append(np.full(len(o), i)), ranks.append(ByteHashes(data).of(most[i] - o, most[i] - o + width))
+                offsets.append(o), rows.append(np.full(len(o), i)), ranks.append(ByteHashes(data).of(most[i] - o, most[i] - o + width)), begins.append(first[i] + most[i] - o)
+            if rows:
+                take, begin = pa.array(np.concatenate(rows)), np.concatenate(begins).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in (0, 1, 2, 5)], pa.array(np.concatenate(offsets).astype(np.int32)), _signed(np.concatenate(ranks)), pa.array(begin), pa.array(begin + np.int32(width)), pa.array(np.zeros(len(begin), bool))], ["doc_id", "text_key", "h", "once", "o", "rank", "first", "last", "by_word"])
+
+    return joined.mapInArrow(run, "doc_id long, text_key long, h long, once boolean, o int, rank long, first int, last int, by_word boolean")
+
+
+def _passages(contexts: DataFrame, passage: int) -> DataFrame:
+    """Hashes of all strings of ``passage`` words in the contexts of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2000):
+            first, most = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            rows, offsets, ranks, begins, ends = [], [], [], [], []
+            for i, data in enumerate(batch.column(6).to_pylist()):
+                for starts, ends_, hashes, begin, end in word_blocks(data, passage):
+                    n = len(starts) - passage + 1
+                    rows.append(np.full(n, i)), offsets.append(most[i] - np.arange(n)), ranks.append(hashes.of(begin[:n], end[passage - 1 :]))
+                    begins.append(first[i] + starts[:n]), ends.append(first[i] + ends_[passage - 1 :])
             if rows:
                 take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in (0, 1, 2, 3, 6)], pa.array(np.concatenate(offsets).astype(np.int32)), _signed(np.concatenate(ranks))], ["doc_id", "text_key", "at", "h", "once", "o", "rank"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in (0, 1, 2, 5)], pa.array(np.concatenate(offsets).astype(np.int32)), _signed(np.concatenate(ranks)), pa.array(np.concatenate(begins).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.ones(sum(map(len, rows)), bool))], ["doc_id", "text_key", "h", "once", "o", "rank", "first", "last", "by_word"])
 
-    return joined.mapInArrow(run, "doc_id long, text_key long, at long, h long, once boolean, o int, rank long")
+    rows = contexts.where("by_word").select("doc_id", "text_key", "h", "first", "most", "once", "data")
+    return rows.mapInArrow(run, "doc_id long, text_key long, h long, once boolean, o int, rank long, first int, last int, by_word boolean")
 
 
-def _found_twice(rows: DataFrame, *key: str) -> DataFrame:
-    """Rows whose key stands in two rows at least; Spark splits a hot key's side of the join."""
-    twice = rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return rows.join(twice, list(key), "left_semi")
+def _twice(rows: DataFrame, *key: str) -> DataFrame:
+    """The keys of two rows at least, as a table of their own: their sums are partial, and a join to it can be split."""
+    return cut(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cell: int = CELL) -> DataFrame:
-    """doc_id, text_key, first, last (byte after the end) of spans that cover all bytes of repeated strings; spans may overlap.
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cell: int = CELL, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, text_key, by_word, first, last (byte after the end) of spans that cover all bytes of repeated strings (of words: all words of repeated passages); spans may overlap.
 
-    docs: doc_id, text_key, data.
+    docs: doc_id, text_key, data. passage = 0: no passages.
     """
     if not gram + cell < width:
         raise ValueError("width must exceed gram + cell")
-    found = cut(_anchor_rows(docs, width, gram))
-    ranks = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alike")).where("n > 1").select("h", "alike")
+    if passage and passage < PASSAGE_GRAM:
+        raise ValueError(f"passage must be {PASSAGE_GRAM} words or more, or 0")
+    found = cut(_anchor_rows(docs, width, gram, passage))
+    ranks = cut(found.groupBy("h").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alike")).where("n > 1").select("h", "alike"))
     twice = cut(found.join(ranks, "h"))
-    key = ["doc_id", "text_key"]
-    inside = twice.where("alike").select(*key, (F.col("at") - F.col("most")).alias("first"), (F.col("at") - F.col("least") + width).alias("last"))
+    drop(found, ranks)
+    span = [*_KEY, "by_word", "first", "last"]
+    inside = twice.where("alike").select(*span)
 
     # Contexts that differ: one of each kind goes on, and a kind found twice is settled.
     differ = twice.where(~F.col("alike"))
-    kinds = cut(differ.groupBy("h", "context", "most", "least").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "at")).alias("one")))
-    settled = differ.join(kinds.where("n > 1").select("h", "context", "most", "least"), ["h", "context", "most", "least"], "left_semi").select(*key, (F.col("at") - F.col("most")).alias("first"), (F.col("at") - F.col("least") + width).alias("last"))
-    edges = kinds.select("one.doc_id", "one.text_key", "one.at", "h", "most", "least", (F.col("n") == 1).alias("once"))
-    contexts = cut(_context_bytes(docs, edges, width).dropDuplicates(["doc_id", "text_key", "at"]))
-    cells = cut(_found_twice(_cells(contexts, width, cell), "h", "k", "core"))
-    hulls = cells.where("hull is not null").groupBy("h", "k", "hull").agg(F.count("*").alias("_n")).where("_n > 1").select("h", "k", "hull")
-    whole = cells.join(hulls, ["h", "k", "hull"], "left_semi")
-    covered = whole.where("once").select(*key, (F.col("at") - F.col("high")).alias("first"), (F.col("at") - F.col("low") + width).alias("last"))
+    kind = ["h", "context", "most", "least"]
+    kinds = cut(differ.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "first", "last", "by_word")).alias("one")))
+    settled = differ.join(kinds.where("n > 1").select(*kind), kind, "left_semi").select(*span)
+    edges = kinds.select("one.*", "h", "most", "least", (F.col("n") == 1).alias("once"))
+    contexts = cut(_context_bytes(docs, edges))
+    own = cut(_cells(contexts, width, cell))
+    cells = cut(own.join(_twice(own, "h", "k", "core"), ["h", "k", "core"], "left_semi"))
+    hulls = _twice(cells.where("hull is not null"), "h", "k", "hull")
+    begin = F.col("first") + F.col("most")
+    covered = cells.where("once").join(hulls, ["h", "k", "hull"], "left_semi").select(*_KEY, F.lit(False).alias("by_word"), (begin - F.col("high")).alias("first"), (begin - F.col("low") + width).alias("last"))
     # Borders: a cell of one context is open; those that share its core must be ranked with it.
-    open_cells = cells.join(hulls, ["h", "k", "hull"], "left_anti").where("once")
-    sides = cells.join(open_cells.select("h", "k", "core").distinct(), ["h", "k", "core"], "left_semi")
-    border = _found_twice(cut(_strings(contexts, sides, width)), "h", "o", "rank").where("once")
-    border = border.select(*key, (F.col("at") - F.col("o")).alias("first"), (F.col("at") - F.col("o") + width).alias("last"))
-    return inside.unionByName(settled).unionByName(covered).unionByName(border)
+    open_cells = cut(cells.join(hulls, ["h", "k", "hull"], "left_anti").where("once").select("h", "k", "core").distinct())
+    sides = cells.join(open_cells, ["h", "k", "core"], "left_semi")
+    strings = _strings(contexts, sides, width)
+    if passage:
+        strings = strings.unionByName(_passages(contexts, passage))
+    strings = cut(strings)
+    border = strings.where("once").join(_twice(strings, "h", "o", "rank"), ["h", "o", "rank"], "left_semi").select(*span)
+    spans = cut(inside.unionByName(settled).unionByName(covered).unionByName(border))
+    drop(twice, kinds, contexts, own, cells, hulls, open_cells, strings)
+    return spans
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -183,34 +242,44 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("data"))
 
 
-def dedup_bytes(docs: DataFrame, width: int = WIDTH, with_data: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, if asked for).
+def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap or touch, as one."""
+    out: list[list[int]] = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], last)
+        else:
+            out.append([first, last])
+    return [(a, b) for a, b in out]
+
+
+def dedup_bytes(docs: DataFrame, width: int = WIDTH, with_data: bool = False, passage: int = PASSAGE) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words (and kept, the bytes left, if asked for).
 
     Every byte is removed that lies in a string of width bytes which starts
-    anywhere else too, also in the same document. Null texts are empty; texts
-    shorter than width keep all; of repeated rows each repeats the others, so
-    long ones lose all; an empty table gives none.
+    anywhere else too, also in the same document. n_passage_words counts the
+    words in strings of ``passage`` words that stand anywhere else too,
+    whatever their length in bytes; they are reported and stay. Null texts are
+    empty; texts shorter than width keep all; of repeated rows each repeats
+    the others, so long ones lose all; an empty table gives none. A long text
+    is hashed in blocks of 4 MB, but must fit a task's memory as bytes; ids
+    must be numbers.
     """
     rows = _prepared(docs)
-    spans = repeated_spans(rows, width).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("spans")).select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), "spans")
+    spans = repeated_spans(rows, width, passage=passage).groupBy(*_KEY).agg(F.collect_set(F.struct("by_word", "first", "last")).alias("spans")).select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), "spans")
     joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_key") == F.col("s_key")), "left").select("doc_id", "data", "spans")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_data
-    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_data
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"] + ["kept"] * with_data
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long" + ", kept binary" * with_data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                kept, at, n_spans, end = [], 0, 0, -1
-                for s in sorted((s["first"], s["last"]) for s in found or []):
-                    if s[0] > end:
-                        n_spans += 1
-                        kept.append(data[at : s[0]])
-                    at = end = max(end, s[1])
-                kept.append(data[at:])
-                left = b"".join(kept)
-                out.append((len(data), len(data) - len(left), n_spans, hashlib.sha256(left).hexdigest(), left))
-            columns = [pa.array([o[k] for o in out], t) for k, t in zip(range(4 + with_data), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+                gone = _runs([(s["first"], s["last"]) for s in found or [] if not s["by_word"]])
+                said = _runs([(s["first"], s["last"]) for s in found or [] if s["by_word"]])
+                left = b"".join([data[a:b] for a, b in zip([0, *(g[1] for g in gone)], [*(g[0] for g in gone), len(data)])])
+                out.append((len(data), len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest(), sum(len(data[a:b].split()) for a, b in said), left))
+            columns = [pa.array([o[k] for o in out], t) for k, t in zip(range(5 + with_data), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     return joined.mapInArrow(run, kinds)

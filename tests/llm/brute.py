@@ -49,6 +49,13 @@ def repeats(docs, width=400):
     return out
 
 
+def passages(docs, size=51):
+    """Words in strings of size words that stand twice or more."""
+    texts = [(i, re.split(r"[\x20\x09-\x0D]+", (t or "").strip(" \t\n\x0b\x0c\r"))) for i, t in docs]
+    count = Counter(tuple(w[p : p + size]) for _, w in texts for p in range(len(w) - size + 1))
+    return {i: len({q for p in range(len(w) - size + 1) if count[tuple(w[p : p + size])] > 1 for q in range(p, p + size)}) for i, w in texts}
+
+
 def quality(text):
     text = text or ""
     w = WORD.findall(text)

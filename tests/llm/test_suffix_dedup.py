@@ -4,6 +4,7 @@ import pytest
 
 pytest.importorskip("folio.llm.suffix_dedup")
 
+from folio.llm import suffix_dedup  # noqa: E402
 from folio.llm.suffix_dedup import dedup_bytes  # noqa: E402
 from tests.llm import brute  # noqa: E402
 
@@ -37,3 +38,38 @@ def test_against_brute_force(spark):
 def test_awkward_tables(spark):
     assert run(spark, []) == {}
     assert run(spark, [(1, "q" * 500), (1, "q" * 500), (None, "short")])[1][1] == 500
+
+
+def test_passages_against_brute_force(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(r.randint(1, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    passages = [text(n) for n in (50, 51, 52, 60, 90, 200)]
+    rows = []
+    for i in range(50):
+        words = text(r.randint(0, 120))
+        for p in r.sample(passages, r.randint(0, 2)):
+            words += [*p[r.choice([0, 0, 1, 9]) :], *text(r.randint(0, 60))]
+        rows.append((i, "".join(w + r.choice([" ", " ", "\n", " \t"]) for w in words)))
+    rows += [(100, None), (101, "x " * 120), (102, rows[3][1]), (103, " ".join(passages[1]))]
+    want = brute.passages(rows)
+    assert 20 < sum(v > 0 for v in want.values()) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x["doc_id"]: x["n_passage_words"] for x in dedup_bytes(df).collect()} == want
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    r = random.Random(13)
+    line = "".join(r.choice("abc ") for _ in range(5000)).encode()
+    whole = [tuple(map(int, x)) for p in suffix_dedup.anchors(line) for x in zip(*p)]
+    monkeypatch.setattr(suffix_dedup, "_BLOCK", 700)
+    parts = [tuple(map(int, x)) for p in suffix_dedup.anchors(line) for x in zip(*p)]
+    strings = lambda rows: {(h, first + i, most - i) for h, _, most, least, first, _ in rows for i in range(most - least + 1)}
+    assert len(parts) > len(whole) and strings(parts) == strings(whole)
+
+
+def test_five_megabytes_in_one_text(spark):
+    r = random.Random(14)
+    long = "".join(r.choice("abcdefgh ") for _ in range(5_000_000))
+    got = run(spark, [(1, long), (2, long[1_000_000:1_000_500]), (3, "q" * 300)])
+    assert [got[i][1:3] for i in (1, 2, 3)] == [(500, 1), (500, 1), (0, 0)]

@@ -65,6 +65,16 @@ def unpacked(rows: DataFrame, text: Column, changed: Column) -> DataFrame:
     return rows.select(row.alias("row")).select("row.*")
 
 
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines of these numbers (from 0, ascending): what lies between them, put together, in linear time."""
+    def kept(lines: Column) -> Column:
+        gaps = F.zip_with(F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 2, b - a - 1))
+        return F.array_join(F.flatten(gaps), "\n")
+
+    # The array of one element holds the split text, which else would be split again for each gap.
+    return F.get(F.transform(F.array(F.split(text, "\n")), kept), F.lit(0))
+
+
 def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the words between ASCII white space begin and end."""
     space = np.ones(len(data) + 2, np.int8)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import cut, documents, slices
+from folio.llm.common import cut, documents, packed, slices
 
 #: Bytes of words after A-Z in lower case: digits, letters and every byte of characters past ASCII; others become spaces.
 _WORD_BYTES = bytes(b if b > 0x7F or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -263,7 +263,7 @@ def _per_document(base: DataFrame, hits: DataFrame, share: int) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("row_key").alias("_bad_key")).distinct()
-    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad_id")) & (key == F.col("_bad_key")), "left_anti")
+    """The documents that aren't contaminated, with all their columns, whatever their names."""
+    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_key")).distinct()
+    rows = packed(docs).select("row", "id", "text_key")
+    return rows.join(bad, rows["id"].eqNullSafe(F.col("bad_id")) & (rows["text_key"] == F.col("bad_key")), "left_anti").select("row.*")

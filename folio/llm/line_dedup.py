@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut
+from folio.llm.common import cut, packed, unpacked, without_lines
 
 MIN_WORDS, MAX_LINES = 50, 8
 SALTS = 16
@@ -71,29 +71,25 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS, max_lines: int = MAX
 
 
 def _kept(docs: DataFrame, min_words: int, max_lines: int) -> DataFrame:
-    """docs with _kept (text without later runs), _n_lines and _drop (null if nothing goes)."""
-    drop = later_runs(docs, min_words, max_lines).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("drop").alias("_drop"))
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    joined = docs.withColumn("_tk", F.xxhash64(text)).join(drop, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_tk") == F.col("_key")), "left")
-    lines = F.split(text, "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    return joined.withColumn("_kept", F.when(F.col("_drop").isNull(), docs["text"].cast("string")).otherwise(left)).withColumn("_n_lines", F.size(lines).cast("long"))
+    """The packed documents with gone, the numbers of the lines to delete (null if none)."""
+    later = later_runs(docs, min_words, max_lines).select(F.col("doc_id").alias("d_id"), F.col("text_key").alias("d_key"), F.col("drop").alias("gone"))
+    rows = packed(docs)
+    return rows.join(later, rows["id"].eqNullSafe(F.col("d_id")) & (rows["text_key"] == F.col("d_key")), "left")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_lines: int = MAX_LINES) -> DataFrame:
-    """The documents with later repeated runs deleted from their texts, n_chars to match; other columns as they are.
+    """The documents with later repeated runs deleted from their texts, n_chars to match; other columns as they are, whatever their names.
 
     A null text stays null and an empty one empty; documents of which nothing
     is left keep an empty text. Of equal rows, none is earlier than the other,
-    so all keep the same text. An empty table gives an empty table.
+    so all keep the same text. An empty table gives an empty table. Work is
+    linear in a text's lines; ids must be numbers.
     """
-    out = _kept(docs, min_words, max_lines)
-    columns = [F.col("_kept").alias("text") if c == "text" else F.when(F.col("_drop").isNull(), docs[c]).otherwise(F.length("_kept")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return out.select(*columns)
+    return unpacked(_kept(docs, min_words, max_lines), without_lines(F.col("text"), F.col("gone")), F.col("gone").isNotNull())
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS, max_lines: int = MAX_LINES) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed (lines), n_bytes_kept, kept_sha256."""
     out = _kept(docs.select("doc_id", "text"), min_words, max_lines)
-    kept = F.coalesce("_kept", F.lit(""))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"), F.octet_length(kept).cast("long").alias("n_bytes_kept"), F.sha2(kept, 256).alias("kept_sha256"))
+    out = out.select("id", "gone", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("gone"))).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.octet_length("kept").cast("long").alias("n_bytes_kept"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut, slices
+from folio.llm.common import cut, packed, slices, unpacked, without_lines
 
 SYMBOL = re.compile(r"[#*$%&|<>]")
 _SPACE = "\x20\t\n\x0b\x0c\r"
@@ -62,8 +62,8 @@ def line_hash(line: Column) -> Column:
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, host, text_key, the counts of the contract, base_failed, and for each line with a word its hash and number of words. No shuffle."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.struct(line_hash(x).alias("h"), F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))), lambda s: s["w"] > 0)
+    """doc_id, host, text_key, the counts of the contract, base_failed, and for each line with a word its number, hash and number of words. No shuffle."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), line_hash(x).alias("h"), F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))), lambda s: s["w"] > 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("lines", lines).withColumn("text_key", F.xxhash64("text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -75,7 +75,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
             failed = pc.or_(pc.less(columns[0], 10), pc.greater(pc.multiply(columns[4], 100), pc.multiply(columns[0], 20)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(3), *columns, failed], ["doc_id", "host", "text_key", "lines", *names, "base_failed"])
 
-    return rows.select("doc_id", "host", "text", "lines", "text_key").mapInArrow(run, "doc_id long, host string, text_key long, lines array<struct<h:long,w:int>>, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean")
+    return rows.select("doc_id", "host", "text", "lines", "text_key").mapInArrow(run, "doc_id long, host string, text_key long, lines array<struct<i:int,h:long,w:int>>, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean")
 
 
 def boilerplate(base: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
@@ -87,7 +87,7 @@ def boilerplate(base: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MI
 
 
 def quality(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, kept_share: float = KEPT_SHARE, min_words: int = MIN_WORDS, many_docs: int = MANY_DOCS) -> DataFrame:
-    """One row per document: doc_id, text_key, the contract's counts, base_failed, n_boilerplate_words, boilerplate (hashes of its removed lines), kept.
+    """One row per document: doc_id, text_key, the contract's counts, base_failed, n_boilerplate_words, removed_lines (numbers from 0, ascending; null if none), kept.
 
     A null text has no words and fails the base rules; a null source is a
     host of its own; repeated rows are one document for the line counts and
@@ -96,25 +96,21 @@ def quality(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SH
     base = cut(base_rules(docs))
     bad = cut(boilerplate(base, min_docs, min_share, many_docs))
     # A hot line meets its one row in SALTS parts.
-    lines = base.select("doc_id", "text_key", "host", F.explode("lines").alias("l")).select("doc_id", "text_key", "host", F.col("l.h").alias("h"), F.col("l.w").alias("w"), F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).alias("salt"))
+    lines = base.select("doc_id", "text_key", "host", F.explode("lines").alias("l")).select("doc_id", "text_key", "host", "l.h", "l.i", "l.w", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).alias("salt"))
     salted = bad.select(F.col("host").alias("of"), F.col("h").alias("bad_h"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("bad_salt"))
     hit = lines.join(salted, F.col("host").eqNullSafe(F.col("of")) & (F.col("h") == F.col("bad_h")) & (F.col("salt") == F.col("bad_salt")), "left_semi")
-    removed = hit.groupBy("doc_id", "text_key", "host").agg(F.collect_set("h").alias("r_boilerplate"))
-    removed = removed.select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"), F.col("host").alias("r_host"), "r_boilerplate")
+    removed = hit.groupBy("doc_id", "text_key", "host").agg(F.sort_array(F.collect_set(F.struct("i", "w"))).alias("r_lines"))
+    removed = removed.select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"), F.col("host").alias("r_host"), "r_lines")
     joined = base.join(removed, base["doc_id"].eqNullSafe(F.col("r_id")) & (base["text_key"] == F.col("r_key")) & base["host"].eqNullSafe(F.col("r_host")), "left")
-    gone = F.when(F.col("r_boilerplate").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(F.filter("lines", lambda s: F.array_contains("r_boilerplate", s["h"])), F.lit(0).cast("long"), lambda a, s: a + s["w"]))
+    gone = F.coalesce(F.aggregate("r_lines", F.lit(0).cast("long"), lambda a, s: a + s["w"]), F.lit(0).cast("long"))
     left = F.col("n_words") - F.col("n_boilerplate_words")
     verdict = ~F.col("base_failed") & ~((F.col("n_boilerplate_words") > 0) & ((left < F.col("n_words") * kept_share) | (left < min_words)))
-    return joined.withColumn("n_boilerplate_words", gone).select("doc_id", "text_key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_boilerplate_words", F.col("r_boilerplate").alias("boilerplate"), verdict.alias("kept"))
+    return joined.withColumn("n_boilerplate_words", gone).select("doc_id", "text_key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_boilerplate_words", F.col("r_lines.i").alias("removed_lines"), verdict.alias("kept"))
 
 
 def apply_rules(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that are kept, boilerplate lines removed from their texts, n_chars to match; other columns as they are."""
-    key = ["_id", "_key", "_host"]
-    good = quality(docs, **limits).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("host").alias("_host"), F.col("boilerplate").alias("_gone")).dropDuplicates(key)
-    text = docs["text"].cast("string")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")) & docs["source"].cast("string").eqNullSafe(F.col("_host"))
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_gone", line_hash(x))), "\n")
-    joined = docs.join(good, same).withColumn("_left", F.when(F.col("_gone").isNull(), text).otherwise(left))
-    columns = [F.col("_left").alias("text") if c == "text" else F.when(F.col("_gone").isNull(), docs[c]).otherwise(F.length("_left")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return joined.select(*columns)
+    """The documents that are kept, boilerplate lines removed from their texts, n_chars to match; other columns as they are, whatever their names."""
+    good = quality(docs, **limits).where("kept").select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"), F.col("host").alias("g_host"), F.col("removed_lines").alias("gone")).dropDuplicates(["g_id", "g_key", "g_host"])
+    rows = packed(docs)
+    same = rows["id"].eqNullSafe(F.col("g_id")) & (rows["text_key"] == F.col("g_key")) & rows["row.source"].cast("string").eqNullSafe(F.col("g_host"))
+    return unpacked(rows.join(good, same), without_lines(F.col("text"), F.col("gone")), F.col("gone").isNotNull())

@@ -31,22 +31,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import ByteHashes, cut, documents, slices
+from folio.llm.common import ByteHashes, cut, documents, packed, slices, word_blocks
 from folio.llm.components import components
 
 WORDS, PERCENT = 4, 85
 HOT, SKETCH = 32, 0.25
+SALTS = 64
 
 
 def shingles(data: bytes, k: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles, A-Z in lower case; of the whole sequence if there are fewer words."""
-    words = data.lower().split()  # bytes: A-Z only, and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(k, len(words))
-    return np.unique(ByteHashes(b" ".join(words)).of(starts[: len(words) - k + 1], ends[k - 1 :]))
+    data = data.lower()  # bytes: A-Z only
+    found = [hashes.of(begin[: len(begin) - k + 1], end[k - 1 :]) for _, _, hashes, begin, end in word_blocks(data, k)]
+    if found:
+        return np.unique(np.concatenate(found))
+    few = b" ".join(data.split())
+    return ByteHashes(few).of(np.array([0]), np.array([len(few)])) if few else np.zeros(0, np.uint64)
 
 
 def _need(n: Column, m: Column, percent: int) -> Column:
@@ -54,17 +54,25 @@ def _need(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / (100 + percent)).cast("long")
 
 
-def _sets(docs: DataFrame, k: int, sketch: float) -> DataFrame:
-    """doc_id, sid (digest of the set, null if empty), n, m (size of the sketch)."""
+def _sets(docs: DataFrame, k: int, sketch: float, hot: int) -> DataFrame:
+    """doc_id, sid (digest of the set, null if empty), n, m (size of the sketch), heavy (on one row of a batch: the shingles
+    of its sketches that stand in over ``hot`` of its rows)."""
     bound = np.uint64(int(sketch * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [shingles(t, k) for t in batch.column(1).to_pylist()]
-            sid = [hashlib.blake2b(f.tobytes(), digest_size=16).digest() if len(f) else None for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.binary()), pa.array([len(f) for f in found], pa.int64()), pa.array([int(np.searchsorted(f, bound)) for f in found], pa.int64())], ["doc_id", "sid", "n", "m"])
+        for batch in batches:
+            out, sketches = [], []
+            for part in slices([batch]):
+                for f in (shingles(t, k) for t in part.column(1).to_pylist()):
+                    m = int(np.searchsorted(f, bound))
+                    sketches.append(f[:m])
+                    out.append((hashlib.blake2b(f.tobytes(), digest_size=16).digest() if len(f) else None, len(f), m, None))
+            if out:
+                token, count = np.unique(np.concatenate(sketches), return_counts=True)
+                out[0] = (*out[0][:3], token[count > hot].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))))], ["doc_id", "sid", "n", "m", "heavy"])
 
-    return docs.mapInArrow(run, "doc_id long, sid binary, n long, m long")
+    return docs.mapInArrow(run, "doc_id long, sid binary, n long, m long, heavy array<long>")
 
 
 def _sketches(docs: DataFrame, k: int, sketch: float) -> DataFrame:
@@ -133,6 +141,7 @@ def _pairs(listed: DataFrame, percent: int) -> DataFrame:
 def _hub_pairs(listed: DataFrame, percent: int) -> DataFrame:
     """Of every list, its least id with each other that it may link to."""
     hubs = listed.groupBy("token").agg(F.min(F.struct("id", "n", "at")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", F.col("h.id").alias("x"), F.col("h.n").alias("xn"), F.col("h.at").alias("xat"))
+    hubs = cut(hubs)  # a table, so that Spark can split a long list when it meets its hub
     met = _side(listed, "y").join(hubs, "token").where((F.col("x") < F.col("y")) & _may_link("xn", "xat", "yn", "yat", percent))
     return met.select("x", "y").distinct()
 
@@ -140,7 +149,7 @@ def _hub_pairs(listed: DataFrame, percent: int) -> DataFrame:
 def _cross_pairs(listed: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list that are in different components so far."""
     labelled = listed.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-    mixed = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    mixed = cut(labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"))
     labelled = cut(labelled.join(mixed, "token", "left_semi"))
     met = _side(labelled, "x", "root").join(_side(labelled, "y", "root"), "token").where((F.col("x") < F.col("y")) & (F.col("xroot") != F.col("yroot")) & _may_link("xn", "xat", "yn", "yat", percent))
     return met.select("x", "y").distinct()
@@ -184,7 +193,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _short_lists(sets: DataFrame, percent: int) -> DataFrame:
     """token, id, n, at of the prefixes of short documents, over whole sets, rare shingles first."""
     tokens = sets.select("doc_id", F.explode("tokens").alias("token"))
-    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    df = cut(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     shared = tokens.join(df, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     sizes = sets.select("doc_id", F.size("tokens").cast("long").alias("n"))
     size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -201,10 +210,16 @@ def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HO
     out where it is connected already.
     """
     data = documents(docs).select("doc_id", F.col("text").cast("binary").alias("data"))
-    rows = cut(_sets(data, k, sketch))
+    rows = cut(_sets(data, k, sketch, hot))
     nodes = cut(rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("m").alias("m")))
-    counted = _sketches(data, k, sketch).withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
-    counted = cut(counted)
+    # A shingle that is hot in one batch of rows is hot: no count of it is needed, and its rows are dealt out. Others stand
+    # in at most ``hot`` rows of every batch, so a count has a small share of all rows.
+    heavy = cut(rows.select(F.explode("heavy").alias("h_token")).distinct())
+    sketches = _sketches(data, k, sketch)
+    sketches = sketches.join(heavy, sketches["token"] == heavy["h_token"], "left").withColumn("salt", F.when(F.col("h_token").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
+    count = F.count("*").over(Window.partitionBy("token", "salt"))
+    counted = sketches.withColumn("df", F.when(F.col("h_token").isNull(), count).otherwise(F.lit(hot + 1).cast("long"))).where("df > 1")
+    counted = cut(counted.select("token", "doc_id", "at", "df"))
     lists = counted.where("doc_id is not null").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "token", "df"))).alias("found"))
     all_rows = nodes.join(lists, nodes["node"] == lists["doc_id"], "left").select(F.col("node").alias("doc_id"), "n", "m", "found")
     prefixes = cut(_prefixes(all_rows, percent, hot).where("short or size(posts) > 0"))
@@ -239,7 +254,9 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     Two documents link when 100 * intersection >= percent * union of their
     sets. Documents without words (null and empty texts) and rows without a
     doc_id are linked with nothing; fewer than k words are one shingle; rows
-    with one doc_id are one document; an empty table gives none.
+    with one doc_id are one document; an empty table gives none. A long text
+    is hashed in blocks; its set of 64-bit hashes must fit a task's memory.
+    Sets are compared by these hashes; ids must be numbers.
     """
     rows, nodes, found, across, roots = links(docs, k, percent, hot, sketch)
     if not across.isEmpty():
@@ -251,7 +268,13 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are the first of their component, all columns; of rows with equal doc_id and text, one."""
-    copies = jaccard_components(docs, **options).where(~F.col("is_first")).select(F.col("doc_id").alias("_copy_id")).distinct()
-    left = docs.withColumn("_text_key", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))).join(copies, docs["doc_id"].cast("long") == F.col("_copy_id"), "left_anti")
-    return left.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    """The documents that are the first of their component, all columns; of rows with equal doc_id and text, one. Rows without a doc_id stay."""
+    copies = cut(jaccard_components(docs, **options).where(~F.col("is_first")).select(F.col("doc_id").alias("copy_id")).distinct())
+    rows = packed(docs).select("row", "id", "text_key")
+    left = rows.join(copies, rows["id"] == copies["copy_id"], "left_anti")
+    # Repeated rows are few or none; only they are gathered by key.
+    twice = cut(rows.groupBy("id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("t_id"), F.col("text_key").alias("t_key")))
+    same = F.col("id").eqNullSafe(F.col("t_id")) & (F.col("text_key") == F.col("t_key"))
+    once = left.join(twice, same, "left_anti")
+    first = left.join(twice, same, "left_semi").dropDuplicates(["id", "text_key"])
+    return once.unionByName(first).select("row.*")

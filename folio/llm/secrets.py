@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import cut, documents, span_digest
-from folio.llm.spans import found_if, in_order, kinds
+from folio.llm.spans import found_if, free_of, in_order, kinds
 
 #: Fixed patterns of the contract.
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*+[:=]\x20*+["']?)([A-Za-z0-9+/_.=-]++)"""
@@ -68,13 +68,14 @@ def secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Null and empty texts have no spans; repeated rows give repeated results;
     equal spans of two kinds are both reported; an empty table gives none.
+    Work is linear in a text's matches; ids must be numbers.
     """
     rows = documents(docs).withColumn("text_key", F.xxhash64("text"))
     rows = rows.select("doc_id", "text_key", *[kinds(v, k).alias(k) for k, v in _row_values(F.col("text")).items()])
     strong = in_order(F.concat("assign", "access", "hex"), KINDS)
     weak = F.concat("weak_id", "weak_secret", "endpoint")
     # A weak part inside a strong span is the same find.
-    outside = F.filter(weak, lambda s: ~F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    outside = F.when(F.size(weak) > 0, free_of(weak, F.concat("assign", "access", "hex"))).otherwise(weak)
     rows = rows.select("doc_id", "text_key", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), strong.alias("base"), outside.alias("weak"))
     rows = cut(rows)  # spans alone; they are read three times
     parts = rows.where(F.size("weak") > 0).select("doc_id", "text_key", F.explode(F.concat("base", "weak")).alias("s")).select("doc_id", "text_key", "s.kind", "s.start", "s.end").distinct()

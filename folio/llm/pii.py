@@ -1,15 +1,22 @@
 """Personal data and the terms that give it away, in DataFrame operations only.
 
-Patterns find the protected entities. The unit of co-occurrence is a distinct
-line of the corpus with its neighbours, the nearest lines that aren't empty:
-copies of a text don't count twice, copies of a line in other surroundings do.
-With n units of all, n_e that hold the entity in the line or beside it, n_t
-that hold a term in the line and n_te with both, the term tells
+Patterns find the protected entities. A term is a word outside of entities.
+The context of an entity is the ``NEAR`` words before and after each of its
+occurrences, so the pairs of terms and entities are linear in the entities.
+Over the word positions of the corpus, with n of all, n_e in contexts of the
+entity, n_t that hold the term and n_te that are both, the term tells
 PMI = log(n_te * n / (n_t * n_e)) of the entity's information
-IC = log(n / n_e). Terms of which PMI reaches ``disclosure`` times IC for some
-entity, on at least ``support`` units, are spans wherever they stand, also in
-documents without the entity: the rarer a term is elsewhere, the surer it
-points to the entity. Spans are replaced by their kind, terms are removed.
+IC = log(n / n_e). A term is disclosing if for some entity
+
+* PMI reaches ``disclosure`` times IC, and
+* it stands in contexts of the entity at least ``share`` of the times that it
+  stands anywhere: who reads it guesses the entity at even odds or better, and
+* ``support`` contexts that differ hold it: copies of a text count once.
+
+So an entity that stands in two places only can have such terms as well: the
+words which those places share and which are found nowhere else. Disclosing
+terms are spans wherever they stand, also in documents without the entity.
+Entities are generalised to their kind, terms are removed.
 """
 
 from __future__ import annotations
@@ -17,17 +24,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut, documents, span_digest
-from folio.llm.spans import found_if, in_order, kinds, matches
+from folio.llm.common import cut, documents, packed, span_digest, unpacked
+from folio.llm.spans import SPAN, found_if, free_of, in_order, matches, replaced
 
 #: Fixed patterns of the contract, written so that no match can backtrack, nor begin again inside a run that failed.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"[\p{L}\p{N}]{3,}"
+TERM = r"[\p{L}\p{N}]{3,}+"
 KINDS = ["email", "ip", "card", "phone", "term"]
-DISCLOSURE, SUPPORT = 0.8, 3
+NEAR = 20
+DISCLOSURE, SHARE, SUPPORT = 0.8, 0.5, 2
 
 
 def _digits(x: Column) -> Column:
@@ -52,111 +60,103 @@ def base_matches(text: Column) -> dict[str, Column]:
     }
 
 
-def _lines(text: Column) -> Column:
-    """array<struct<at, line>> of the lines that aren't empty."""
-    return F.aggregate(F.split(text, "\n"), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,line:string>>").alias("out")), lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.when(x == "", s["out"]).otherwise(F.array_append(s["out"], F.struct(s["at"].alias("at"), x.alias("line")))).alias("out")), lambda s: s["out"])
-
-
-def _unit(before: Column, line: Column, after: Column) -> Column:
-    return F.xxhash64(F.coalesce(before, F.lit("")), line, F.coalesce(after, F.lit("")))
-
-
 def _scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, the base matches by kind, and of documents that have any the lines that hold or touch one, with their units and places."""
+    """doc_id, text_key, base (array of kind, value, start, end), digest of the text; the text itself only where base isn't empty."""
     rows = documents(docs).withColumn("text_key", F.xxhash64("text"))
     rows = rows.select("doc_id", "text_key", "text", *[v.alias(k) for k, v in base_matches(F.col("text")).items()])
 
     def entities(kind: str) -> Column:
         value = _digits if kind in ("card", "phone") else F.lower
-        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), value(s["m"]).alias("value"), s["start"].alias("start"), s["end"].alias("end")))
-
-    schema = "array<struct<at:int,line:string,unit:long,low:int,high:int>>"
-    rows = rows.withColumn("base", F.concat(*map(entities, KINDS[:4])))
-    rows = rows.select("doc_id", "text_key", "base", F.when(F.size("base") > 0, _lines(F.col("text"))).alias("placed"))
-    beside = lambda i: F.get("placed", i)
-    high = lambda x: x["at"] + F.length(x["line"])
-    lines = F.transform("placed", lambda x, i: F.struct(x["at"].alias("at"), x["line"].alias("line"), _unit(beside(i - 1)["line"], x["line"], beside(i + 1)["line"]).alias("unit"), F.coalesce(beside(i - 1)["at"], x["at"]).alias("low"), F.coalesce(high(beside(i + 1)), high(x)).alias("high")))
-    near = F.filter(lines, lambda x: F.exists("base", lambda s: (s["start"] >= x["low"]) & (s["start"] < x["high"])))
-    return rows.select("doc_id", "text_key", "base", F.coalesce(near, F.array()).cast(schema).alias("lines"))
-
-
-def _free(words: Column, base: Column) -> Column:
-    return F.filter(words, lambda w: ~F.exists(base, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-
-
-def _words(line: Column, at: Column) -> Column:
-    return F.transform(matches(line, TERM), lambda m: F.struct(F.lower(m["m"]).alias("term"), (m["start"] + at).alias("start"), (m["end"] + at).alias("end")))
-
-
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """entity, term pairs above the threshold."""
-    lines = scanned.where(F.size("base") > 0).select("base", F.explode("lines").alias("l")).withColumn("words", _words(F.col("l.line"), F.col("l.at")))
-    near = F.filter("base", lambda s: (s["start"] >= F.col("l.low")) & (s["start"] < F.col("l.high")))
-    terms = F.array_distinct(F.transform(_free(F.col("words"), F.col("base")), lambda w: w["term"]))
-    rows = lines.select(F.col("l.unit").alias("unit"), terms.alias("terms"), F.explode(F.array_distinct(F.transform(near, lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
-    seen = cut(rows.groupBy("entity", "unit").agg(F.first("terms").alias("terms")))
-
-    n_e = seen.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    n_te = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    pairs = cut(n_te.join(n_e, "entity"))
-
-    # Every unit of the corpus gives the terms of its line once, and an empty one that counts the units. Counts are
-    # summed in tasks before they are shuffled, so common terms cost no more than others.
-    every = documents(docs).select(F.filter(F.split("text", "\n"), lambda x: x != "").alias("lines"))
-    units = F.transform("lines", lambda x, i: F.struct(_unit(F.get("lines", i - 1), x, F.get("lines", i + 1)).alias("unit"), x.alias("line")))
-    every = every.select(F.explode(units).alias("u")).groupBy("u.unit").agg(F.first("u.line").alias("line"))
-    terms = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), F.lower))
-    counts = cut(every.select(F.explode(F.array_append(terms, F.lit(""))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
-    n = counts.where(F.col("term") == "").select(F.col("n_t").alias("n"))
+        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), value(s["m"]).alias("value"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))
+
+    rows = rows.select("doc_id", "text_key", "text", F.concat(*map(entities, KINDS[:4])).alias("base"))
+    return rows.select("doc_id", "text_key", "base", F.sha2("text", 256).alias("digest"), F.when(F.size("base") > 0, F.col("text")).alias("text"))
+
+
+def _words(text: Column) -> Column:
+    """array<struct<term, start, end>>"""
+    return F.transform(matches(text, TERM), lambda m: F.struct(F.lower(m["m"]).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
+
+
+def _contexts(scanned: DataFrame, near: int) -> DataFrame:
+    """doc_id, text_key, entity, context (hash of its terms), term, start: the words near each occurrence of an entity."""
+    rows = scanned.where(F.size("base") > 0).select("doc_id", "text_key", "base", _words(F.col("text")).alias("words"))
+    event = lambda s, entity, term: F.struct(s["start"].cast("int").alias("start"), entity.cast("string").alias("entity"), term.cast("string").alias("term"))
+    entities = F.transform("base", lambda s: event(s, F.concat_ws(":", s["kind"], s["value"]), F.lit(None)))
+    words = F.transform(free_of(F.col("words"), F.col("base"), "term"), lambda w: event(w, F.lit(None), w["term"]))
+    rows = rows.select("doc_id", "text_key", F.array_sort(F.concat(entities, words)).alias("events"))
+    # ``events`` is a column of its own, so each slice costs its own length only; it isn't carried along with what is exploded.
+    around = lambda i: F.filter(F.slice("events", F.greatest(i - near + 1, F.lit(1)), F.lit(near) + F.least(i, F.lit(near)) + 1), lambda e: e["term"].isNotNull())
+    places = F.filter(F.transform("events", lambda e, i: F.struct(e["entity"].alias("entity"), i.alias("i"))), lambda x: x["entity"].isNotNull())
+    found = F.transform(places, lambda x: F.struct(x["entity"].alias("entity"), around(x["i"]).alias("near")))
+    rows = rows.select("doc_id", "text_key", F.explode(found).alias("f")).select("doc_id", "text_key", "f.entity", F.xxhash64("f.near.term").alias("context"), F.explode("f.near").alias("w"))
+    return rows.select("doc_id", "text_key", "entity", "context", "w.term", "w.start")
+
+
+def disclosing_terms(docs: DataFrame, scanned: DataFrame, disclosure: float = DISCLOSURE, share: float = SHARE, support: int = SUPPORT, near: int = NEAR) -> DataFrame:
+    """entity, term pairs above the thresholds."""
+    # A position near two occurrences of an entity counts once.
+    met = cut(_contexts(scanned, near).groupBy("doc_id", "text_key", "entity", "term", "start").agg(F.min("context").alias("context")))
+    n_e = met.groupBy("entity").agg(F.count_distinct("doc_id", "text_key", "start").alias("n_e"))
+    n_te = met.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
+    pairs = cut(n_te.select("entity", "term", "n_te").join(cut(n_e), "entity"))
+    # All words of the corpus, repeated rows left out of neither side; counts are summed in tasks before they are shuffled.
+    words = F.array_append(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower), F.lit(""))
+    rows = documents(docs)
+    counts = cut(rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
+    # Each row has an empty word besides, so that an empty corpus has a count too.
+    n = counts.agg(F.sum("n_t").alias("n"))
     told = pairs.join(counts, "term").crossJoin(F.broadcast(n))  # n is one row
     pmi = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
-    return told.where(pmi >= F.log(F.col("n") / F.col("n_e")) * disclosure).select("entity", "term")
+    return told.where((F.col("n_te") >= F.col("n_t") * share) & (pmi >= F.log(F.col("n") / F.col("n_e")) * disclosure)).select("entity", "term")
 
 
-def personal_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """One row per document: doc_id, text_key, base and terms (arrays of kind, start, end)."""
+def personal_spans(docs: DataFrame, disclosure: float = DISCLOSURE, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+    """One row per document: doc_id, text_key, base and terms (arrays of kind, start, end), digest, text (null if there are no spans)."""
     scanned = cut(_scanned(docs))
-    told = cut(disclosing_terms(docs, scanned, disclosure, support).select("term").distinct())
-    # The distinct terms are few: their table is sent to the words of all documents while it is small.
-    lines = documents(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(_lines(F.col("text"))).alias("l"))
-    words = F.array_distinct(F.transform(F.regexp_extract_all("l.line", F.lit(TERM), F.lit(0)), F.lower))
-    met = lines.select("*", F.explode(words).alias("term")).join(told, "term")
-    # Places are worked out on lines that hold such a term only.
-    met = met.select("doc_id", "text_key", "term", F.explode(_words(F.col("l.line"), F.col("l.at"))).alias("w"))
-    found = met.where(F.col("w.term") == F.col("term")).select("doc_id", "text_key", "w.start", "w.end")
-    term = F.struct(F.lit("term").alias("kind"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    terms = found.groupBy("doc_id", "text_key").agg(F.collect_set(term).alias("terms")).select(F.col("doc_id").alias("t_id"), F.col("text_key").alias("t_key"), "terms")
-    base = in_order(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))), KINDS)
-    none = F.array().cast("array<struct<kind:string,start:long,end:long>>")
-    joined = scanned.join(terms, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_key") == F.col("t_key")), "left")
-    joined = joined.withColumn("terms", F.coalesce("terms", none))
-    return joined.select("doc_id", "text_key", base.alias("base"), _free(F.col("terms"), F.col("base")).alias("terms"))
-
-
-def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (all), n_terms.
-
-    Null and empty texts have no spans; repeated rows give repeated results
-    and count once for the estimates; spans of two kinds may overlap, each is
-    reported; an empty table gives none.
+    told = cut(disclosing_terms(docs, scanned, disclosure, share, support).select("term").distinct())
+    # The terms are few: their table is sent to the words of all documents while it is small; beyond that, words alone are shuffled.
+    rows = documents(docs).withColumn("text_key", F.xxhash64("text"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
+    hits = cut(rows.select("doc_id", "text_key", F.explode(words).alias("term")).join(told, "term", "left_semi").select(F.col("doc_id").alias("t_id"), F.col("text_key").alias("t_key")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_key") == F.col("t_key"))
+    # Places are worked out in documents that hold such a term only.
+    holders = cut(rows.join(hits, same, "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    placed = holders.select("doc_id", "text_key", F.explode(_words(F.col("text"))).alias("w")).select("doc_id", "text_key", "w.term", "w.start", "w.end")
+    span = F.struct(F.lit("term").alias("kind"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    terms = placed.join(told, "term", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("terms"))
+    terms = terms.select(F.col("doc_id").alias("t_id"), F.col("text_key").alias("t_key"), "terms")
+    texts = holders.select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"), F.col("text").alias("h_text"))
+    terms = terms.join(texts, F.col("t_id").eqNullSafe(F.col("h_id")) & (F.col("t_key") == F.col("h_key"))).select("t_id", "t_key", "terms", "h_text")
+    joined = scanned.join(terms, same, "left")
+    base = in_order(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), KINDS)
+    free = F.when(F.col("terms").isNull(), F.array().cast(SPAN)).when(F.size("base") == 0, F.array_sort("terms")).otherwise(free_of(F.col("terms"), F.col("base")))
+    return joined.select("doc_id", "text_key", base.alias("base"), free.alias("terms"), "digest", F.coalesce("text", "h_text").alias("text"))
+
+
+def _clean(text: Column, base: Column, terms: Column) -> Column:
+    return replaced(text, in_order(F.concat(base, terms), KINDS), lambda k: F.when(k == "term", F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(k), F.lit(">"))))
+
+
+def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (all), n_terms, n_spans (all), clean_sha256 (of the sanitised text).
+
+    Null and empty texts have no spans; repeated rows give repeated results;
+    spans of two kinds may overlap, each is reported; an empty table gives
+    none. Work is linear in a text's matches and words, but for sorting; a
+    text of 5 MB in one line is a test. Ids must be numbers.
     """
-    found = personal_spans(docs, disclosure, support)
+    found = personal_spans(docs, disclosure, share, support)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(span_digest(F.col("base")), 256).alias("base_sha256"), span_digest(in_order(F.concat("base", "terms"), KINDS)).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
-
-
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """The documents with entities generalised to their kind, as <EMAIL>, and disclosing terms removed; n_chars isn't touched."""
-    found = personal_spans(docs, disclosure, support).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), in_order(F.concat("base", "terms"), KINDS).alias("_spans"))
-    text = docs["text"].cast("string")
-    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key")), "left")
-
-    def step(s: Column, x: Column) -> Column:
-        name = F.when(x["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
-        fresh = x["start"] >= s["at"]
-        out = F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), name)
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, out).otherwise(s["out"]).alias("out"))
-
-    done = F.aggregate("_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    clean = F.when(F.size("_spans") > 0, done).otherwise(text)
-    return joined.select(*[clean.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    every = F.concat("base", "terms")
+    clean = F.when(F.size(every) > 0, F.sha2(_clean(F.col("text"), F.col("base"), F.col("terms")), 256)).otherwise(F.col("digest"))
+    return found.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(span_digest(F.col("base")), 256).alias("base_sha256"), span_digest(in_order(every, KINDS)).alias("spans"), F.size("terms").cast("long").alias("n_terms"), F.size(every).cast("long").alias("n_spans"), clean.alias("clean_sha256"))
+
+
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+    """The documents with entities generalised to their kind, as <EMAIL>, and disclosing terms removed, n_chars to match; other columns as they are, whatever their names."""
+    found = personal_spans(docs, disclosure, share, support).where(F.size("base") + F.size("terms") > 0).dropDuplicates(["doc_id", "text_key"])
+    found = found.select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), "base", "terms")
+    rows = packed(docs)
+    joined = rows.join(found, rows["id"].eqNullSafe(F.col("s_id")) & (rows["text_key"] == F.col("s_key")), "left")
+    return unpacked(joined, _clean(F.col("text"), F.col("base"), F.col("terms")), F.col("base").isNotNull())

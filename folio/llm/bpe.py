@@ -19,8 +19,10 @@ import codecs
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -33,6 +35,7 @@ _NEVER = 1 << 30
 #: The file's own pre-tokeniser pattern, a fixed value.
 PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts without these characters need no Unicode normalisation but lower-casing.
+_GAP = re.compile("[\x20\t\n\r]")
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-˿]")
 
 
@@ -47,6 +50,16 @@ SYMBOLS = _byte_symbols()
 BYTE_OF = {s: b for b, s in enumerate(SYMBOLS)}
 
 
+def text_blocks(text: str, size: int = 1 << 17) -> Iterator[str]:
+    """The text in blocks that end before white space, so that no word and no special string is cut."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + size) if at + size < len(text) else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
 class WordBpe:
     """One vocabulary file; caches are bounded and may be dropped at any time."""
 
@@ -73,6 +86,7 @@ class WordBpe:
                 node = node.setdefault(symbol, {})
             node[int(closing)] = t
         self._words: dict[str, tuple[str, ...]] = {}
+        self._tables: dict[str, array] = {}
         self._library = None
 
     def sufficient_lookahead(self) -> int:
@@ -217,24 +231,47 @@ class WordBpe:
                 self._words[word] = found
         return found
 
-    def forget(self) -> None:
-        self._words.clear()
-        self._fits.clear()
-
-    def prefix_counts(self, word: str) -> list[int]:
-        """Exact token count of every prefix of a word, each taken as a word of its own."""
+    def prefix_counts(self, word: str) -> array:
+        """Exact token count of every prefix of a word, each taken as a word of its own: one pass over the table of last tokens."""
         n = len(word)
-        lasts, opened, closed = [""] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        lasts, opened, closed = [""] * (n + 1), array("i", bytes(4 * (n + 1))), array("i", bytes(4 * (n + 1)))
         for start in range(n):
+            left = lasts[start]
             if start:
-                opened[start] = opened[start - len(lasts[start])] + 1
-            self._advance(word, lasts, 0, start)
+                opened[start] = opened[start - len(left)] + 1
+            known = self._fits.get(left)
+            if known is None:
+                if len(self._fits) > self.cache_size:
+                    self._fits.clear()
+                known = self._fits[left] = {}
+            node, count = self._trie, opened[start] + 1
             for end in range(start + 1, min(n, start + self.lookahead) + 1):
-                closing = word[start:end] + END
-                if closing in self.vocab and self.fits(lasts[start], closing):
-                    closed[end] = opened[start] + 1
+                node = node.get(word[end - 1])
+                if node is None:
+                    break
+                for closing, there in ((0, lasts[end]), (1, closed[end])):
+                    token = node.get(closing)
+                    if token is not None and not there:
+                        ok = known.get(token)
+                        if ok is None:
+                            ok = known[token] = self._follows(left, token)
+                        if ok and closing:
+                            closed[end] = count
+                        elif ok:
+                            lasts[end] = token
         return closed
 
+    def prefix_table(self, word: str) -> array:
+        """prefix_counts, kept for short words."""
+        found = self._tables.get(word)
+        if found is None:
+            found = self.prefix_counts(word)
+            if len(word) <= 64:
+                if len(self._tables) > self.cache_size:
+                    self._tables.clear()
+                self._tables[word] = found
+        return found
+
     # --- texts ---------------------------------------------------------------
 
     @property
@@ -260,17 +297,33 @@ class WordBpe:
     def library_pretokens(self, text: str) -> list[str]:
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
-    def tokens(self, text: str) -> Iterator[str]:
-        for i, part in enumerate(self.segments(text)):
-            if i % 2:
-                yield part
-                continue
-            chunks = self.chunks(part)
-            for word in self.library_pretokens(part) if chunks is None else (w for c in chunks for w in self.pretokens(c)):
-                yield from self.word(word)
+    def parts(self, text: str) -> Iterator[tuple[str, list[str]]]:
+        """('special', [string]), ('chunks', white-space separated chunks) or ('words', pre-tokens), a block of text at a time."""
+        for block in text_blocks(text):
+            for i, part in enumerate(self.segments(block)):
+                if i % 2:
+                    yield "special", [part]
+                elif (chunks := self.chunks(part)) is None:
+                    yield "words", self.library_pretokens(part)
+                else:
+                    yield "chunks", chunks
 
     def encode(self, text: str) -> list[int]:
-        return [self.special[t] if t in self.special else self.vocab[t] for t in self.tokens(text)]
+        return list(self.ids(text))
+
+    def ids(self, text: str) -> Iterator[int]:
+        """Token ids, each as soon as it is stable."""
+        for kind, items in self.parts(text):
+            for item in items:
+                if kind == "special":
+                    yield self.special[item]
+                else:
+                    yield from self.word_ids([item] if kind == "words" else self.pretokens(item))
+
+    def word_ids(self, words: Iterable[str]) -> Iterator[int]:
+        for word in words:
+            for token in self.word(word) if len(word) <= 64 else self.stream(word):
+                yield self.vocab[token]
 
 
 class Decoder:
@@ -303,41 +356,53 @@ def load(path: str) -> WordBpe:
 
 
 class ChunkCodec:
-    """Ids and decoded names of white-space separated chunks, kept for the frequent ones."""
+    """Ids of white-space separated chunks, and the text that the decoder makes of the ids; kept for frequent chunks, in bounded tables that later tasks find."""
 
-    def __init__(self, bpe: WordBpe, size: int = 300_000):
+    def __init__(self, bpe: WordBpe, size: int = 200_000):
         self.bpe, self.size, self.kept = bpe, size, {}
 
-    def _of(self, words: list[str]) -> tuple[int, str, str]:
-        names = [t for w in words for t in self.bpe.word(w)]
-        return len(names), " ".join([str(self.bpe.vocab[t]) for t in names]), " ".join(names)
+    def _of(self, words: list[str]) -> tuple[int, bytes, bytes]:
+        ids, decoder = list(self.bpe.word_ids(words)), Decoder(self.bpe)
+        return len(ids), " ".join(map(str, ids)).encode(), ("".join(map(decoder.feed, ids)) + decoder.finish()).encode()
 
-    def chunk(self, chunk: str) -> tuple[int, str, str]:
+    def chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
         found = self._of(self.bpe.pretokens(chunk))
-        if len(chunk) <= 64:
-            if len(self.kept) > self.size:
-                self.kept.clear()
-            self.kept[chunk] = found
+        if len(self.kept) > self.size:
+            self.kept.clear()
+        self.kept[chunk] = found
         return found
 
-    def forget(self) -> None:
-        """Drop what is kept for frequent words; new texts bring new words, and idle workers should hold little."""
-        self.kept.clear()
-        self.bpe.forget()
+    def _long(self, words: Iterable[str], size: int = 4096) -> Iterator[tuple[int, bytes, bytes]]:
+        """Chunks of any length, a few thousand tokens at a time."""
+        ids = self.bpe.word_ids(words)
+        while some := list(islice(ids, size)):
+            decoder = Decoder(self.bpe)
+            yield len(some), " ".join(map(str, some)).encode(), ("".join(map(decoder.feed, some)) + decoder.finish()).encode()
+
+    def _found(self, text: str) -> Iterator[list[tuple[int, bytes, bytes]]]:
+        get, make = self.kept.get, self.chunk
+        for kind, items in self.bpe.parts(text):
+            if kind == "special":
+                i = self.bpe.special[items[0]]
+                yield [(1, str(i).encode(), Decoder(self.bpe).feed(i).encode())]
+            elif kind == "words":
+                yield from ([x] for x in self._long(items))
+            elif max(map(len, items), default=0) <= 64:
+                yield [get(c) or make(c) for c in items]
+            else:
+                for c in items:
+                    yield [get(c) or make(c)] if len(c) <= 64 else list(self._long(self.bpe.pretokens(c)))
 
     def document(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, ids joined by a space, decoded text."""
-        out = []
-        for i, part in enumerate(self.bpe.segments(text)):
-            if i % 2:
-                out.append((1, str(self.bpe.special[part]), part))
-            elif (chunks := self.bpe.chunks(part)) is None:
-                out.append(self._of(self.bpe.library_pretokens(part)))
-            else:
-                get, make = self.kept.get, self.chunk
-                out += [get(c) or make(c) for c in chunks]
-        out = [x for x in out if x[0]]
-        return sum(x[0] for x in out), " ".join([x[1] for x in out]), " ".join([x[2] for x in out])
+        """Number of tokens, digests of the ids joined by a space and of the decoded text; both are fed block by block."""
+        n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+        for found in self._found(text):
+            if found := [x for x in found if x[0]]:
+                gap = b" " if n else b""
+                n += sum([x[0] for x in found])
+                ids.update(gap + b" ".join([x[1] for x in found]))
+                decoded.update(gap + b" ".join([x[2] for x in found]))
+        return n, ids.hexdigest(), decoded.hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -347,20 +412,19 @@ def chunk_codec(path: str) -> ChunkCodec:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256 and decoded_sha256.
+    """One row per document: doc_id, n_tokens, ids_sha256 and decoded_sha256 (of what the decoder makes of the ids).
 
     A null text is empty: no tokens and the digests of the empty string.
     Repeated rows give repeated results; an empty table gives none. Documents
-    never leave their task, so nothing is shuffled.
+    never leave their task, so nothing is shuffled. A long text is taken in
+    blocks of 0.1 MB that end at white space, and a longer word streams.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = chunk_codec(path)
         for batch in slices(batches):
             rows = [codec.document(t) for t in batch.column(1).to_pylist()]
-            digest = lambda k: [hashlib.sha256(r[k].encode()).hexdigest() for r in rows]  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(digest(1)), pa.array(digest(2))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        codec.forget()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -369,10 +433,9 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the token ids of every document, for further use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = chunk_codec(path)
-        for batch in slices(batches):
-            ids = [list(map(int, codec.document(t)[1].split())) for t in batch.column(1).to_pylist()]
+        bpe = load(path)
+        for batch in slices(batches, 100):
+            ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-        codec.forget()
 
     return documents(docs).mapInArrow(run, "doc_id long, ids array<int>")

@@ -1,19 +1,20 @@
 """Token counts of every prefix by dynamic programming.
 
-The count at the end of a word is the sum of the counts of the words before
-it; inside a word it comes from the table of last tokens (``WordBpe.prefix_counts``).
-Both are exact, so limits and budgets are answered without encoding again.
+A word's table holds the exact count of each of its prefixes
+(``WordBpe.prefix_counts``: one pass, no prefix is encoded). The count at the
+end of a word is the last entry; counts of words add up, so the count of any
+prefix of a text is that of the words before it and one entry of a table.
+Limits and budgets are answered from the tables. The tables of short words
+are kept from text to text.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.bpe import WordBpe, load
@@ -21,47 +22,72 @@ from folio.llm.common import documents, slices
 
 
 class PrefixCounter:
-    """Counts at the end of every white-space separated chunk of a text."""
+    """Counts from the tables of words; sums are kept for frequent chunks."""
 
     def __init__(self, bpe: WordBpe, size: int = 300_000):
         self.bpe, self.size, self.kept = bpe, size, {}
 
-    def _count(self, words: list[str]) -> int:
-        # The table's last entry is the count of the whole word.
-        return sum(len(self.bpe.word(w)) for w in words)
-
-    def chunk(self, chunk: str) -> int:
-        found = self._count(self.bpe.pretokens(chunk))
+    def chunk(self, chunk: str) -> tuple[int, int]:
+        """Words of a white-space separated chunk, and the count at its end."""
+        words, table = self.bpe.pretokens(chunk), self.bpe.prefix_table
+        found = len(words), sum([table(w)[-1] for w in words])
         if len(chunk) <= 64:
             if len(self.kept) > self.size:
                 self.kept.clear()
             self.kept[chunk] = found
         return found
 
-    def forget(self) -> None:
-        self.kept.clear()
-        self.bpe.forget()
-
-    def table(self, text: str) -> list[int]:
-        """Tokens up to the end of each chunk (of each word, where the library normalises; of each special string)."""
-        steps: list[int] = []
-        for i, part in enumerate(self.bpe.segments(text)):
-            if i % 2:
-                steps.append(1)
-            elif (chunks := self.bpe.chunks(part)) is None:
-                steps += [len(self.bpe.word(w)) for w in self.bpe.library_pretokens(part)]
+    def _steps(self, text: str) -> Iterator[tuple[str, list[str], list[tuple[int, int]]]]:
+        """Parts of a text with the words and the count that each item adds."""
+        get, make, table = self.kept.get, self.chunk, self.bpe.prefix_table
+        for kind, items in self.bpe.parts(text):
+            if kind == "special":
+                yield kind, items, [(1, 1)]
+            elif kind == "words":
+                yield kind, items, [(1, table(w)[-1]) for w in items]
             else:
-                get = self.kept.get
-                found = [get(c) for c in chunks]
-                if None in found:
-                    found = [self.chunk(c) if n is None else n for c, n in zip(chunks, found)]
-                steps += found
-        return list(accumulate(steps))
-
-    def fitting(self, word: str, budget: int) -> int:
-        """Bytes of the longest prefix of a word within a budget of tokens; counts need not grow with the prefix."""
-        counts = self.bpe.prefix_counts(word)
-        return max(k for k, n in enumerate(counts) if n <= budget)
+                yield kind, items, [get(c) or make(c) for c in items]
+
+    def count(self, text: str, budget: int) -> tuple[int, int, int]:
+        """Tokens of the text, and its longest prefix within a budget: whole words (special strings are words), and bytes of the next word.
+
+        Every word has a token at least, so the prefix ends in the word where
+        the sum passes the budget; inside a word counts may fall again.
+        """
+        total = words = 0
+        place = None
+        for kind, items, found in self._steps(text):
+            n = sum([f[1] for f in found])
+            if place is None and total + n <= budget:
+                words += sum([f[0] for f in found])
+            elif place is None:
+                place = self._place(kind, items, found, words, budget - total)
+            total += n
+        return total, *(place or (words, 0))
+
+    def _place(self, kind: str, items: list[str], found: list[tuple[int, int]], words: int, left: int) -> tuple[int, int]:
+        for item, (w, n) in zip(items, found):
+            if n > left:
+                break
+            words, left = words + w, left - n
+        if kind == "special":
+            return words, 0
+        for word in [item] if kind == "words" else self.bpe.pretokens(item):
+            table = self.bpe.prefix_table(word)
+            if table[-1] > left:
+                break
+            words, left = words + 1, left - table[-1]
+        return words, max(k for k, n in enumerate(table) if n <= left)
+
+    def table(self, text: str) -> Iterator[list[int]]:
+        """The count of every prefix, word by word: after each byte of the word; a special string has one entry."""
+        spent = 0
+        for kind, items in self.bpe.parts(text):
+            for item in items:
+                for w in [item] if kind != "chunks" else self.bpe.pretokens(item):
+                    own = [1] if kind == "special" else self.bpe.prefix_table(w)[1:]
+                    yield [spent + n for n in own]
+                    spent += own[-1] if own else 0
 
 
 @lru_cache(maxsize=2)
@@ -71,30 +97,38 @@ def prefix_counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
-    """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit, chunks_within (chunks that fit the limit as a whole).
+    """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit, words_within and bytes_within (whole words within the limit, and bytes of the next).
 
     A null text is empty: 0 bytes, 0 tokens. Repeated rows give repeated
-    results; an empty table gives none. No shuffle.
+    results; an empty table gives none. No shuffle. A long text is taken in
+    blocks of 0.1 MB that end at white space; a long word needs some 20 bytes
+    of memory for each of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
         for batch in slices(batches):
-            tables = [counter.table(t) for t in batch.column(1).to_pylist()]
-            totals = [t[-1] if t else 0 for t in tables]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_()), pa.array([bisect_right(t, limit) for t in tables], pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "chunks_within"])
-        counter.forget()
+            texts = batch.column(1).to_pylist()
+            found = [counter.count(t, limit) for t in texts]
+            columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[0] > limit for f in found], pa.bool_()), *(pa.array([f[k] for f in found], pa.int64()) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "n_bytes", "n_tokens", "over_limit", "words_within", "bytes_within"])
 
-    return documents(docs).withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chunks_within long")
+    return documents(docs).withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, words_within long, bytes_within long")
 
 
 def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and counts: the exact token count at the end of every chunk, to be stored and asked about any limit."""
+    """doc_id, counts: for every word the exact token count after each of its bytes, to be stored and asked about any limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([counter.table(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "counts"])
-        counter.forget()
+        for batch in slices(batches, 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(counter.table(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.list_(pa.int32())))], ["doc_id", "counts"])
+
+    return documents(docs).mapInArrow(run, "doc_id long, counts array<array<int>>")
+
 
-    return documents(docs).mapInArrow(run, "doc_id long, counts array<int>")
+def within(counts: Column, budget: int) -> Column:
+    """struct<words, bytes> of the longest prefix within a budget, from a stored table."""
+    words = F.size(F.filter(counts, lambda w: F.element_at(w, -1) <= budget))
+    inside = F.array_max(F.transform(F.get(counts, words), lambda n, i: F.when(n <= budget, i + 1).otherwise(0)))
+    return F.struct(words.cast("long").alias("words"), F.coalesce(inside, F.lit(0)).cast("long").alias("bytes"))

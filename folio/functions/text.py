@@ -10,9 +10,14 @@ from folio.schema import ABSTRACT_URL, PDF_URL, PHYSICS
 _SPACE = r"[\s   -     　﻿]+"
 
 
+#: A white-space run that isn't a single space already, which most are. Printable ASCII is told apart before the long class is looked at.
+_ANY = f"[[^!-~]&&{_SPACE[:-1]}]"
+_TO_SQUEEZE = f"[[^ -~]&&{_SPACE[:-1]}]{_ANY}*| {_ANY}+"
+
+
 def squeeze(x: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
-    return F.trim(F.regexp_replace(x, _SPACE, " "))
+    return F.trim(F.regexp_replace(x, _TO_SQUEEZE, " "))
 
 
 def extract_id(x: Column) -> Column:

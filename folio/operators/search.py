@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import render
-from folio.plans.query import normal_fields, parse, predicate, score
+from folio.plans.query import parse, predicate, score
 from folio.schema import PAPER_FIELDS
 
 SORTS = ("relevance", "submitted", "updated")
@@ -22,7 +22,7 @@ def scored(found: DataFrame, query: str, sort_by: str = "relevance") -> DataFram
     """With _score, where the order asks for it: a column, as sorting by an expression would work it out for every comparison."""
     if sort_by != "relevance":
         return found
-    return found.withColumns(normal_fields()).withColumn("_score", score(parse(query))).drop(*normal_fields())
+    return found.withColumn("_score", score(parse(query)))
 
 
 def order_by(sort_by: str = "relevance", sort_order: str = "descending") -> list[Column]:

@@ -99,18 +99,32 @@ def _needle(text: str) -> str:
     return " " + " ".join(re.findall(r"[^\W_]+", text.lower())) + " "
 
 
+def _lowered(field: str) -> Column:
+    return F.lower(F.coalesce(FIELDS[field][0](), F.lit("")))
+
+
+def _pattern(text: str) -> str:
+    """Matches the words of text in a lower-case text, with anything but letters and digits between them; '' if there are none.
+
+    The first word stands in front of the test of what is before it, so that a scan of a text stops at its first letter only.
+    """
+    words = _needle(text).split()
+    edge, rest = r"[\p{L}\p{N}]", "".join(rf"[^\p{{L}}\p{{N}}]+{w}" for w in words[1:])
+    return rf"{words[0]}(?<!{edge}{words[0]}){rest}(?!{edge})" if words else ""
+
+
 def predicate(tree) -> Column:
     if isinstance(tree, tuple):
         operator, left, right = tree
         a, b = predicate(left), predicate(right)
         return a | b if operator == "OR" else a & ~b if operator == "ANDNOT" else a & b
     in_category = F.exists("categories", lambda c: F.lower(c) == tree.text.lower())
-    needle = _needle(tree.text)
+    pattern = _pattern(tree.text)
     if tree.field == "cat":
         return in_category
-    if not needle.strip():
+    if not pattern:
         return F.lit(False)
-    hit = lambda f: _normal(FIELDS[f][0]()).contains(needle)
+    hit = lambda f: _lowered(f).rlike(pattern)
     return reduce(lambda a, b: a | b, map(hit, FIELDS)) | in_category if tree.field == "all" else hit(tree.field)
 
 
@@ -121,21 +135,12 @@ def _positive(tree) -> list[Term]:
     return _positive(left) + ([] if operator == "ANDNOT" else _positive(right))
 
 
-def normal_fields() -> dict[str, Column]:
-    """The fields as words between single spaces, to be worked out once for a row."""
-    return {f"_words_{f}": _normal(text()) for f, (text, _) in FIELDS.items()}
-
-
 def score(tree) -> Column:
-    """Weighted occurrences of the positive terms in the fields they ask for, over the columns of normal_fields()."""
+    """Weighted occurrences of the positive terms in the fields they ask for."""
     total = F.lit(0).cast("bigint")
     for term in _positive(tree):
-        needle = _needle(term.text)
+        pattern = _pattern(term.text)
         for f in FIELDS if term.field == "all" else [term.field] if term.field in FIELDS else []:
-            # Doubled spaces keep neighbours from sharing one.
-            padded, doubled = F.replace(f"_words_{f}", F.lit(" "), F.lit("  ")), needle.strip().replace(" ", "  ")
-            sought = f" {doubled} "
-            hits = (F.length(padded) - F.length(F.replace(padded, F.lit(sought), F.lit("")))) / len(sought)
-            if doubled:
-                total = total + hits.cast("bigint") * FIELDS[f][1]
+            if pattern:
+                total = total + F.regexp_count(_lowered(f), F.lit(pattern)).cast("bigint") * FIELDS[f][1]
     return total

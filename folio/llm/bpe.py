@@ -60,6 +60,24 @@ def text_blocks(text: str, size: int = 1 << 17) -> Iterator[str]:
         at = end
 
 
+class Kept:
+    """A bounded table of what is frequent: whenever ``young`` is full, what wasn't asked for since it began is dropped."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class WordBpe:
     """One vocabulary file; caches are bounded and may be dropped at any time."""
 
@@ -77,16 +95,15 @@ class WordBpe:
         self.cache_size = cache_size
         self._fits: dict[str, dict[str, bool]] = {}
         self._histories: dict[str, tuple[bool, list, list]] = {}
-        #: Tokens by their symbols; under 0 the open token that ends here, under 1 the closing one.
-        self._trie: dict = {}
+        #: Tokens by their symbols: nodes of further symbols, the open token that ends here, the closing one.
+        self._trie: list = [{}, None, None]
         for t in self.vocab:
             closing = t.endswith(END) and len(t) > len(END)
             node = self._trie
             for symbol in t[: -len(END)] if closing else t:
-                node = node.setdefault(symbol, {})
-            node[int(closing)] = t
-        self._words: dict[str, tuple[str, ...]] = {}
-        self._tables: dict[str, array] = {}
+                node = node[0].setdefault(symbol, [{}, None, None])
+            node[1 + closing] = t
+        self._words, self._tables = Kept(2 * cache_size), Kept(3 * cache_size)
         self._library = None
 
     def sufficient_lookahead(self) -> int:
@@ -147,17 +164,17 @@ class WordBpe:
         Only one token can end a prefix, so an entry that is there stays.
         """
         left, end, n = lasts[start - base], start - base, len(word) - base
-        node, known = self._trie, self._fits.get(left)
+        (further, token, closing), known = self._trie, self._fits.get(left)
         if known is None:
             if len(self._fits) > self.cache_size:
                 self._fits.clear()
             known = self._fits[left] = {}
         for symbol in word[start:] if n - end <= self.lookahead else word[start : start + self.lookahead]:
-            node = node.get(symbol)
+            node = further.get(symbol)
             if node is None:
                 return ""
             end += 1
-            token = node.get(0)
+            further, token, closing = node
             if token is not None and not lasts[end]:
                 ok = known.get(token)
                 if ok is None:
@@ -165,7 +182,6 @@ class WordBpe:
                 if ok:
                     lasts[end] = token
         if end == n:
-            closing = node.get(1)
             if closing is not None:
                 ok = known.get(closing)
                 if ok is None:
@@ -226,9 +242,7 @@ class WordBpe:
         if found is None:
             found = tuple(self.stream(word))
             if len(word) <= 64:
-                if len(self._words) > self.cache_size:
-                    self._words.clear()
-                self._words[word] = found
+                self._words.put(word, found)
         return found
 
     def prefix_counts(self, word: str) -> array:
@@ -244,21 +258,24 @@ class WordBpe:
                 if len(self._fits) > self.cache_size:
                     self._fits.clear()
                 known = self._fits[left] = {}
-            node, count = self._trie, opened[start] + 1
+            further, count = self._trie[0], opened[start] + 1
             for end in range(start + 1, min(n, start + self.lookahead) + 1):
-                node = node.get(word[end - 1])
+                node = further.get(word[end - 1])
                 if node is None:
                     break
-                for closing, there in ((0, lasts[end]), (1, closed[end])):
-                    token = node.get(closing)
-                    if token is not None and not there:
-                        ok = known.get(token)
-                        if ok is None:
-                            ok = known[token] = self._follows(left, token)
-                        if ok and closing:
-                            closed[end] = count
-                        elif ok:
-                            lasts[end] = token
+                further, token, closing = node
+                if token is not None and not lasts[end]:
+                    ok = known.get(token)
+                    if ok is None:
+                        ok = known[token] = self._follows(left, token)
+                    if ok:
+                        lasts[end] = token
+                if closing is not None and not closed[end]:
+                    ok = known.get(closing)
+                    if ok is None:
+                        ok = known[closing] = self._follows(left, closing)
+                    if ok:
+                        closed[end] = count
         return closed
 
     def prefix_table(self, word: str) -> array:
@@ -267,9 +284,7 @@ class WordBpe:
         if found is None:
             found = self.prefix_counts(word)
             if len(word) <= 64:
-                if len(self._tables) > self.cache_size:
-                    self._tables.clear()
-                self._tables[word] = found
+                self._tables.put(word, found)
         return found
 
     # --- texts ---------------------------------------------------------------
@@ -358,18 +373,18 @@ def load(path: str) -> WordBpe:
 class ChunkCodec:
     """Ids of white-space separated chunks, and the text that the decoder makes of the ids; kept for frequent chunks, in bounded tables that later tasks find."""
 
-    def __init__(self, bpe: WordBpe, size: int = 200_000):
-        self.bpe, self.size, self.kept = bpe, size, {}
+    def __init__(self, bpe: WordBpe, size: int = 250_000):
+        self.bpe, self.kept = bpe, Kept(size)
 
     def _of(self, words: list[str]) -> tuple[int, bytes, bytes]:
         ids, decoder = list(self.bpe.word_ids(words)), Decoder(self.bpe)
         return len(ids), " ".join(map(str, ids)).encode(), ("".join(map(decoder.feed, ids)) + decoder.finish()).encode()
 
     def chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
-        found = self._of(self.bpe.pretokens(chunk))
-        if len(self.kept) > self.size:
-            self.kept.clear()
-        self.kept[chunk] = found
+        found = self.kept.get(chunk)
+        if found is None:
+            found = self._of(self.bpe.pretokens(chunk))
+            self.kept.put(chunk, found)
         return found
 
     def _long(self, words: Iterable[str], size: int = 4096) -> Iterator[tuple[int, bytes, bytes]]:
@@ -380,7 +395,7 @@ class ChunkCodec:
             yield len(some), " ".join(map(str, some)).encode(), ("".join(map(decoder.feed, some)) + decoder.finish()).encode()
 
     def _found(self, text: str) -> Iterator[list[tuple[int, bytes, bytes]]]:
-        get, make = self.kept.get, self.chunk
+        make = self.chunk
         for kind, items in self.bpe.parts(text):
             if kind == "special":
                 i = self.bpe.special[items[0]]
@@ -388,10 +403,11 @@ class ChunkCodec:
             elif kind == "words":
                 yield from ([x] for x in self._long(items))
             elif max(map(len, items), default=0) <= 64:
+                get = self.kept.young.get
                 yield [get(c) or make(c) for c in items]
             else:
                 for c in items:
-                    yield [get(c) or make(c)] if len(c) <= 64 else list(self._long(self.bpe.pretokens(c)))
+                    yield [make(c)] if len(c) <= 64 else list(self._long(self.bpe.pretokens(c)))
 
     def document(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, digests of the ids joined by a space and of the decoded text; both are fed block by block."""

@@ -17,35 +17,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.bpe import WordBpe, load
+from folio.llm.bpe import Kept, WordBpe, load
 from folio.llm.common import documents, slices
 
 
 class PrefixCounter:
     """Counts from the tables of words; sums are kept for frequent chunks."""
 
-    def __init__(self, bpe: WordBpe, size: int = 300_000):
-        self.bpe, self.size, self.kept = bpe, size, {}
+    def __init__(self, bpe: WordBpe, size: int = 400_000):
+        self.bpe, self.kept = bpe, Kept(size)
 
     def chunk(self, chunk: str) -> tuple[int, int]:
         """Words of a white-space separated chunk, and the count at its end."""
-        words, table = self.bpe.pretokens(chunk), self.bpe.prefix_table
-        found = len(words), sum([table(w)[-1] for w in words])
-        if len(chunk) <= 64:
-            if len(self.kept) > self.size:
-                self.kept.clear()
-            self.kept[chunk] = found
+        found = self.kept.get(chunk)
+        if found is None:
+            words, table = self.bpe.pretokens(chunk), self.bpe.prefix_table
+            found = len(words), sum([table(w)[-1] for w in words])
+            if len(chunk) <= 64:
+                self.kept.put(chunk, found)
         return found
 
     def _steps(self, text: str) -> Iterator[tuple[str, list[str], list[tuple[int, int]]]]:
         """Parts of a text with the words and the count that each item adds."""
-        get, make, table = self.kept.get, self.chunk, self.bpe.prefix_table
+        make, table = self.chunk, self.bpe.prefix_table
         for kind, items in self.bpe.parts(text):
             if kind == "special":
                 yield kind, items, [(1, 1)]
             elif kind == "words":
                 yield kind, items, [(1, table(w)[-1]) for w in items]
             else:
+                get = self.kept.young.get
                 yield kind, items, [get(c) or make(c) for c in items]
 
     def count(self, text: str, budget: int) -> tuple[int, int, int]:

@@ -4,11 +4,13 @@ A block is a turn's text, or the lines of a raw transcript between blank
 lines or speaker markers. Roles are hidden; seen are the speaker marker of
 the first line, the length, the number of lines and a closing question mark.
 Counts over all labelled blocks give the model. Viterbi decoding is a product
-of (max, +) matrices, and so is split: a conversation is cut into chunks of
-CHUNK blocks, each gives the best score from any role before it to any role
-at its end, a conversation's chunks are joined by these small matrices, and
-each chunk is then decoded between the roles that were found. No conversation
-must fit a task as a whole.
+of (max, +) matrices, and so is split: blocks are sorted by ranges over all
+tasks, a conversation's run in a range is a part, and a part is cut into
+chunks of CHUNK blocks. A chunk gives the best score from any role before it
+to any role at its end; these small matrices are multiplied for each part,
+then joined over a conversation's parts, and parts and chunks are decoded
+between the roles that were found. No conversation must fit a task, whatever
+its turns' numbers.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import cut
@@ -50,11 +52,36 @@ def blocks_of_transcripts(transcripts: DataFrame) -> DataFrame:
 
 
 def chunked(blocks: DataFrame) -> DataFrame:
-    """conv_id, chunk, blocks (array of turn, features, role, text in order). Equal turns go by text; a null turn comes first."""
+    """conv_id, part, chunk, blocks (array of turn, features, role, text in order), at most CHUNK of them.
+
+    Turns are in order by number, null first; equal ones by the hash of their
+    text. They are sorted over all tasks by ranges, so a conversation with any
+    number of turns, numbered or not, is spread over parts: its runs in one
+    range. Chunks are cut by place within a part, not by the turn's number.
+    """
     role = F.col("role") if "role" in blocks.columns else F.lit(None).cast("string")
     rows = blocks.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower(role).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("chunk", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK)).withColumn("features", _features(F.col("text")))
-    return rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "text", "features", "role"))).alias("blocks"))
+    # Repeated rows differ in nothing but the salt, which is written down before rows are dealt by it.
+    rows = cut(rows.withColumn("features", _features(F.col("text"))).withColumn("tie", F.xxhash64("text")).withColumn("salt", F.monotonically_increasing_id()))
+    order = ["conv_id", "turn", "tie", "salt"]
+    rows = cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy("part", "conv_id").orderBy("turn", "tie", "salt")) - 1
+    rows = rows.withColumn("place", place).withColumn("chunk", F.floor(F.col("place") / CHUNK))
+    listed = F.sort_array(F.collect_list(F.struct("place", "turn", "text", "features", "role")))
+    return rows.groupBy("conv_id", "part", "chunk").agg(listed.alias("blocks"))
+
+
+def _borders(chunks: DataFrame) -> DataFrame:
+    """before, first: the roles on both sides of every border of chunks; start is true where a conversation begins."""
+    ends = chunks.select("conv_id", "part", "chunk", F.col("blocks")[0]["role"].alias("first"), F.element_at("blocks", -1)["role"].alias("last"))
+
+    def along(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(order)
+        return rows.select(F.lag("last").over(w).alias("before"), "first", (F.row_number().over(w) == 1).alias("start"))
+
+    # Chunks of a part, then parts of a conversation, which are no more than there are tasks.
+    parts = ends.groupBy("conv_id", "part").agg(F.min_by("first", "chunk").alias("first"), F.max_by("last", "chunk").alias("last"))
+    return along(ends, ["conv_id", "part"], "chunk").where("not start").unionByName(along(parts, ["conv_id"], "part"))
 
 
 def train(chunks: DataFrame, smoothing: float = 0.5) -> dict[str, list]:
@@ -63,13 +90,11 @@ def train(chunks: DataFrame, smoothing: float = 0.5) -> dict[str, list]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = Counter()
         for batch in batches:
-            for chunk, blocks in zip(batch.chunk, batch.blocks):
+            for blocks in batch.blocks:
                 before = None
-                for i, b in enumerate(blocks):
+                for b in blocks:
                     role = ROLES.index(b["role"]) if b["role"] in ROLES else None
                     if role is not None:
-                        if i == 0 and chunk <= 0:
-                            found["first", role, 0] += 1
                         if before is not None:
                             found["next", before, role] += 1
                         for k, v in enumerate(b["features"]):
@@ -77,7 +102,11 @@ def train(chunks: DataFrame, smoothing: float = 0.5) -> dict[str, list]:
                     before = role
         yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["what", "a", "b", "n"])
 
-    totals = chunks.mapInPandas(count, "what string, a int, b int, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
+    inside = chunks.select("blocks").mapInPandas(count, "what string, a int, b int, n long")
+    number = lambda c: F.array_position(F.array(*map(F.lit, ROLES)), F.col(c)).cast("int") - 1
+    between = _borders(chunks).select(F.when(F.col("start"), "first").otherwise("next").alias("what"), number("before").alias("a"), number("first").alias("b"), "start").where("b >= 0 and (start or a >= 0)")
+    between = between.select("what", F.when(F.col("start"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("start"), 0).otherwise(F.col("b")).alias("b"), F.lit(1).cast("long").alias("n"))
+    totals = inside.unionByName(between).groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
     counts = {(r["what"], r["a"], r["b"]): r["n"] for r in totals.toLocalIterator()}
 
     def table(what: str, rows: int, columns: int) -> list:
@@ -116,46 +145,79 @@ def _decode(model: dict, blocks, before: int | None, last: int) -> list[int]:
     return roles[::-1]
 
 
+def _over(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Best scores over successive parts: to the role at the end, from the conversation's start and from the role before."""
+    start, steps = np.array(parts[0]["start"]), np.array(parts[0]["steps"]).reshape(len(ROLES), -1)
+    for p in parts[1:]:
+        one = np.array(p["steps"]).reshape(len(ROLES), -1)
+        start, steps = (start[:, None] + one).max(axis=0), (steps[:, :, None] + one[None, :, :]).max(axis=1)
+    return start, steps
+
+
+def _ends(parts: list, before: int | None = None, last: int | None = None) -> list[int]:
+    """Roles at the ends of successive parts, from the role before (None at the start) to the role at the end (None: the best)."""
+    score, back = np.array(parts[0]["start"] if before is None else np.array(parts[0]["steps"]).reshape(len(ROLES), -1)[before]), []
+    for p in parts[1:]:
+        ways = score[:, None] + np.array(p["steps"]).reshape(len(ROLES), -1)
+        back.append(ways.argmax(axis=0))
+        score = ways.max(axis=0)
+    roles = [int(score.argmax()) if last is None else last]
+    for b in reversed(back):
+        roles.append(int(b[roles[-1]]))
+    return roles[::-1]
+
+
 def parse(chunks: DataFrame, model: dict) -> DataFrame:
     """conv_id, turn, role, rendered for every block.
 
     Of equal scores the role listed first wins. A null text is an empty
     block; a null conv_id is a conversation; repeated rows are repeated
-    turns; an empty table gives none.
+    turns; turns without a number come first; an empty table gives none.
     """
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for conv, chunk, blocks in zip(batch.conv_id, batch.chunk, batch.blocks):
+            for conv, part, chunk, blocks in batch.itertuples(index=False):
                 first = np.array(model["first"]) + _emissions(model, blocks[:1])[0]
                 rest = _matrix(model, blocks[1:]) if len(blocks) > 1 else None
                 start = first if rest is None else (first[:, None] + rest).max(axis=0)
-                rows.append((conv, chunk, start.tolist(), _matrix(model, blocks).ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["conv_id", "chunk", "start", "steps"])
+                rows.append((conv, part, chunk, start.tolist(), _matrix(model, blocks).ravel().tolist()))
+            yield pd.DataFrame(rows, columns=["conv_id", "part", "chunk", "start", "steps"]).astype({"conv_id": "Int64"})
 
-    ends = chunks.mapInPandas(matrices, "conv_id long, chunk long, start array<double>, steps array<double>")
-    # Chunks of a conversation, without their texts.
-    per_conversation = ends.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "start", "steps"))).alias("parts"))
+    bare = F.transform("blocks", lambda b: F.struct(b["features"].alias("features")))
+    ends = chunks.select("conv_id", "part", "chunk", bare.alias("blocks")).mapInPandas(matrices, "conv_id long, part int, chunk long, start array<double>, steps array<double>")
+    # Chunks of a part and parts of a conversation, without their texts: no list is longer than a part's chunks or the number of tasks.
+    listed = ends.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("chunk", "start", "steps"))).alias("parts"))
+
+    def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(conv, part, start.tolist(), steps.ravel().tolist()) for conv, part, parts in batch.itertuples(index=False) for start, steps in [_over(parts)]]
+            yield pd.DataFrame(rows, columns=["conv_id", "part", "start", "steps"]).astype({"conv_id": "Int64"})
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for conv, parts in zip(batch.conv_id, batch.parts):
-                score, back = np.array(parts[0]["start"]), []
-                for p in parts[1:]:
-                    ways = score[:, None] + np.array(p["steps"]).reshape(len(ROLES), -1)
-                    back.append(ways.argmax(axis=0))
-                    score = ways.max(axis=0)
-                roles = [int(score.argmax())]
-                for b in reversed(back):
-                    roles.append(int(b[roles[-1]]))
-                roles.reverse()
-                rows += [(conv, p["chunk"], roles[i - 1] if i else -1, roles[i]) for i, p in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=["e_id", "e_chunk", "before", "last"])
-
-    found = per_conversation.mapInPandas(join, "e_id long, e_chunk long, before int, last int")
-    joined = chunks.join(found, chunks["conv_id"].eqNullSafe(F.col("e_id")) & (chunks["chunk"] == F.col("e_chunk"))).select("conv_id", "blocks", "before", "last")
+            for conv, parts in batch.itertuples(index=False):
+                roles = _ends(parts)
+                rows += [(conv, p["part"], roles[i - 1] if i else -1, roles[i]) for i, p in enumerate(parts)]
+            yield pd.DataFrame(rows, columns=["p_id", "p_part", "p_before", "p_last"]).astype({"p_id": "Int64"})
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for conv, part, parts, before, last in batch.itertuples(index=False):
+                roles = _ends(parts, None if before < 0 else before, last)
+                rows += [(conv, part, p["chunk"], roles[i - 1] if i else before, roles[i]) for i, p in enumerate(parts)]
+            yield pd.DataFrame(rows, columns=["e_id", "e_part", "e_chunk", "before", "last"]).astype({"e_id": "Int64"})
+
+    whole = listed.mapInPandas(shorten, "conv_id long, part int, start array<double>, steps array<double>")
+    whole = whole.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "start", "steps"))).alias("parts"))
+    at_parts = whole.mapInPandas(join, "p_id long, p_part int, p_before int, p_last int")
+    met = listed.join(at_parts, F.col("conv_id").eqNullSafe(F.col("p_id")) & (F.col("part") == F.col("p_part"))).select("conv_id", "part", "parts", "p_before", "p_last")
+    found = met.mapInPandas(spread, "e_id long, e_part int, e_chunk long, before int, last int")
+    same = chunks["conv_id"].eqNullSafe(F.col("e_id")) & (chunks["part"] == F.col("e_part")) & (chunks["chunk"] == F.col("e_chunk"))
+    joined = chunks.join(found, same).select("conv_id", "blocks", "before", "last")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -171,6 +233,12 @@ def parse(chunks: DataFrame, model: dict) -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """Train on the labelled blocks of the table, and parse all of its blocks with the labels hidden."""
-    chunks = cut(chunked(conversations))
-    return parse(chunks, train(chunks))
+    """conv_id, turn, role, rendered of all blocks of a table with labels, none parsed by a model that saw its label.
+
+    Conversations are dealt to two folds by the hash of their id; each fold is
+    parsed by the model of the other. Where one fold is empty, the other is
+    parsed by a model without counts. Edge cases as in ``parse``.
+    """
+    chunks = cut(chunked(conversations).withColumn("fold", F.pmod(F.xxhash64("conv_id"), F.lit(2))))
+    folds = [chunks.where(F.col("fold") == k) for k in (0, 1)]
+    return parse(folds[0], train(folds[1])).unionByName(parse(folds[1], train(folds[0])))

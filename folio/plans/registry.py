@@ -283,4 +283,27 @@ def atom_parse(s: SparkSession, d: str) -> DataFrame:
     return papers.select("total_results", "id", "title", F.array_join("authors", ", ").alias("authors"), "primary_category", F.array_join("categories", ", ").alias("categories"), "comment", "pdf_url", "abstract_url")
 
 
+def _feeds(s: SparkSession, d: str) -> DataFrame:
+    """A feed of one entry for each paper; every seventh is an answer of another kind. Optional elements are left out where null."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    element = lambda tag, c: F.coalesce(F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>")), F.lit(""))
+    each = lambda xs, before, after: F.array_join(F.transform(xs, lambda x: F.concat(F.lit(before), x, F.lit(after))), "")
+    i = F.col("doc_id")
+    entry = F.concat(
+        element("id", F.concat(F.lit("http://arxiv.org/abs/"), "id")),
+        element("title", F.concat(F.lit("\n  "), escaped(F.col("title")))), element("summary", F.concat(escaped(F.col("abstract")), F.lit(" \n"))),
+        each("authors", "<author><name>", "</name></author>"), each("categories", '<category term="', '"/>'),
+        element("published", F.col("published")), element("updated", F.col("updated")),
+        F.when(i % 5 != 0, F.concat(F.lit('<arxiv:primary_category term="'), "primary_category", F.lit('"/>'))).otherwise(F.lit("")),
+        element("arxiv:comment", F.col("comment")), element("arxiv:journal_ref", escaped(F.col("journal_ref"))), element("arxiv:doi", F.col("doi")),
+        F.when(i % 3 == 0, F.concat(F.lit('<link href="http://x/'), i, F.lit('" title="pdf" rel="related"/>'))).otherwise(F.lit("")),
+    )
+    feed = F.concat(F.lit('<feed xmlns:opensearch="o" xmlns:arxiv="a"><opensearch:totalResults>'), i % 50 + 1, F.lit("</opensearch:totalResults><opensearch:startIndex>0</opensearch:startIndex><entry>"), entry, F.lit("</entry></feed>"))
+    return _papers(s, d).select(F.when(i % 7 == 0, F.lit("Rate exceeded.")).otherwise(feed).alias("xml"))
+
+
+query("atom_documents", f"""WITH {P} SELECT (doc_id % 50 + 1)::bigint AS total_results, id, trim(title) AS title, abstract, array_to_string(authors, ', ') AS authors, primary_category, array_to_string(categories, ', ') AS categories, published, updated, comment, journal_ref, doi,
+CASE WHEN doc_id % 3 = 0 THEN 'http://x/' || doc_id ELSE pdf_url END AS pdf_url, abstract_url FROM papers WHERE doc_id % 7 <> 0""")(
+    lambda s, d: corpus.read_feeds(_feeds(s, d)).select("total_results", "id", "title", "abstract", F.array_join("authors", ", ").alias("authors"), "primary_category", F.array_join("categories", ", ").alias("categories"), "published", "updated", "comment", "journal_ref", "doi", "pdf_url", "abstract_url")
+)
 query("resource_list", "SELECT 'corpus://categories' AS uri, 'Categories' AS name, 'application/json' AS mime_type")(lambda s, d: s.createDataFrame([("corpus://categories", "Categories", "application/json")], "uri string, name string, mime_type string"))

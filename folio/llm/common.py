@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -29,17 +29,41 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     Later jobs start from the table, so a lost executor costs its own tasks
-    only, and Spark knows the table's size when it plans joins.
+    only, and Spark knows the table's size when it plans joins. Files of few
+    rows (0: any number) keep what a task reads at once small where rows are large.
     """
     path = f"{shared_dir(df.sparkSession)}/folio-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: Column, running: str | None = None) -> DataFrame:
+    """A table of df's rows with ``place``: 0, 1, 2 and so on in this order; with ``running``, also ``before``, the sum of that column over all earlier rows.
+
+    Rows are sorted by ranges over all tasks; a range's rows are numbered as
+    they are written, and the sizes of the ranges (one row for each) are added
+    up. No task sees all rows, nor all rows of a key.
+    """
+    at = F.monotonically_increasing_id()
+    table = cut(df.orderBy(*order).withColumn("_at", at)).withColumn("_part", F.shiftright("_at", 33))
+    own = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.sum(running).alias("_sum")] if running else []
+    sizes = table.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n"), *sums)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_p", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_sum")[: 1 + bool(running)]])
+    if running:
+        table = table.withColumn("_own", F.coalesce(F.sum(running).over(own), F.lit(0)))
+    placed = table.join(F.broadcast(starts), F.col("_part") == F.col("_p"))  # one row for each task of the sort
+    placed = placed.withColumn("place", F.col("_n_before") + F.col("_at").bitwiseAND((1 << 33) - 1))
+    if running:
+        placed = placed.withColumn("before", F.col("_own") + F.col("_sum_before"))
+    return placed.drop("_at", "_part", "_p", "_n_before", "_sum_before", "_own")
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote, once nothing reads them any more."""
     for table in tables:

@@ -64,3 +64,22 @@ said AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range
 kept AS (SELECT g.doc_id, string_agg(substring(x, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS k FROM gaps g JOIN d ON g.doc_id = d.doc_id GROUP BY g.doc_id)
 SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(r.removed, 0)::bigint AS n_removed, coalesce(r.n, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256, coalesce(said.n, 0) AS n_passage_words
 FROM d JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN said ON d.doc_id = said.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n, sum(b - a) AS removed FROM runs GROUP BY doc_id) r ON d.doc_id = r.doc_id"""
+
+_BYTES = "list_transform(range(0, octet_length(encode({0}))), lambda i: ('0x' || substring(hex(encode({0})), (2 * i + 1)::int, 2))::bigint)"
+#: The table of the usual CRC-32, from its polynomial.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def _crc32(text: str) -> str:
+    return f"(4294967295 - list_reduce(list_prepend(4294967295::bigint, {_BYTES.format(text)}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+OP13 = f"""WITH {_CRC_TABLE}, d AS (SELECT doc_id, {_NAMES} AS w FROM documents), b AS (SELECT unnest({_NAMES}) AS f FROM benchmark),
+f AS (SELECT doc_id, f, count(*) AS c FROM (SELECT doc_id, unnest(w) AS f FROM d) GROUP BY ALL),
+k AS (SELECT f, ({_crc32("f")} % 10000)::bigint AS k FROM (SELECT f FROM f UNION SELECT f FROM b), crc),
+n AS (SELECT k, sum(s)::bigint AS s, sum(t)::bigint AS t FROM (SELECT k, c AS s, 0 AS t FROM f JOIN k ON f.f = k.f UNION ALL SELECT k, 0, 1 FROM b JOIN k ON b.f = k.f) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln((t + 1)::double * (sum(s) OVER () + 10000)::double / ((s + 1)::double * (sum(t) OVER () + 10000)::double)))::bigint AS gain FROM n),
+v AS (SELECT doc_id, sum(c * gain)::bigint AS weight FROM f JOIN k ON f.f = k.f JOIN g ON k.k = g.k GROUP BY doc_id),
+p AS (SELECT d.doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substring(sha256('2024:' || d.doc_id), 1, 8))::bigint + 0.5)::double / 4294967296)))::bigint AS score FROM d LEFT JOIN v ON d.doc_id = v.doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM p WHERE n_features >= 20)
+SELECT p.doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM p LEFT JOIN r ON p.doc_id = r.doc_id"""

@@ -83,3 +83,15 @@ v AS (SELECT doc_id, sum(c * gain)::bigint AS weight FROM f JOIN k ON f.f = k.f
 p AS (SELECT d.doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substring(sha256('2024:' || d.doc_id), 1, 8))::bigint + 0.5)::double / 4294967296)))::bigint AS score FROM d LEFT JOIN v ON d.doc_id = v.doc_id),
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM p WHERE n_features >= 20)
 SELECT p.doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM p LEFT JOIN r ON p.doc_id = r.doc_id"""
+
+_LAST = "list_sort(list(conv_id) FILTER (len = depth))"
+OP12 = f"""WITH {_CRC_TABLE}, o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substring(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, h, conv_id - conv_id % 5 AS b FROM (SELECT conv_id, ({_crc32("s")} % 9)::bigint AS h FROM (SELECT DISTINCT conv_id, conv_id::varchar AS s FROM o), crc)),
+m AS (SELECT c.conv_id, h, b, count(o.p) AS m FROM c LEFT JOIN o ON o.conv_id = b AND o.p <= h GROUP BY ALL),
+r AS (SELECT m.conv_id, o.p AS depth, role, text FROM m JOIN o ON o.conv_id = b AND o.p <= h UNION ALL SELECT m.conv_id, m + o.p - h, role, text FROM m JOIN o ON o.conv_id = m.conv_id AND o.p > h UNION ALL SELECT conv_id, 0, '', '' FROM c),
+k AS (SELECT conv_id, depth, octet_length(encode(text)) AS n_bytes, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '/') OVER (PARTITION BY conv_id ORDER BY depth)) AS k, max(depth) OVER (PARTITION BY conv_id) AS len FROM r),
+n AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(n_bytes) AS n_bytes, sha256(coalesce(array_to_string({_LAST}, ','), '')) AS ends_sha256, bool_and(len = depth) AS childless FROM k GROUP BY ALL),
+up AS (SELECT n.conv_id, n.depth, a.depth AS d, a.k, n.childless, (n.n_convs - 1) * n.n_bytes AS saved FROM n JOIN k a ON a.conv_id = n.conv_id AND a.depth <= n.depth),
+s AS (SELECT d, k, count(*) FILTER (depth = d + 1) AS n_children, count(*) FILTER (childless) AS n_leaves, sum(saved)::bigint AS saved_tokens FROM up GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s ON n.depth = s.d AND n.k = s.k LEFT JOIN k own ON own.conv_id = n.conv_id AND own.depth = n.depth - 1 LEFT JOIN n p ON p.depth = own.depth AND p.k = own.k"""

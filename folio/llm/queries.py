@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, chat, decontam, line_dedup, ngram_join, pii, quality, resample, secrets, sql, suffix_dedup, tokens, trie
+from folio.llm import bpe, chat, decontam, line_dedup, ngram_join, packing, pii, quality, resample, secrets, sql, suffix_dedup, tokens, trie
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -62,6 +62,10 @@ def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.proximity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"), every=5, heads=9).drop("turn_id")
 
@@ -71,7 +75,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_dedup, op3_quality_rules, op4_token_counts, op5_line_dedup, op6_secret_scans, op7_bpe_codec, op8_personal_data, op9_chat_formatting, op10_decontamination, op10_proximity, op12_conversation_trie, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_dedup, op3_quality_rules, op4_token_counts, op5_line_dedup, op6_secret_scans, op7_bpe_codec, op8_personal_data, op9_chat_formatting, op10_decontamination, op10_proximity, op11_best_fit_packing, op12_conversation_trie, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:

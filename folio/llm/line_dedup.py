@@ -4,9 +4,9 @@ A run is a series of successive lines (blank ones don't count) with at least
 ``min_words`` words, or of ``max_lines`` lines. For every line, the shortest
 run that begins there and the shortest that ends there are the windows. The
 least line hash of a window is its fingerprint: equal runs have it at the
-same place, so no repeat is missed. Fingerprints found once are dropped; the
-windows around the others are joined by content to their first occurrence in
-the order of (doc_id, line). A window that stood earlier is a later repeat;
+same place, so no repeat is missed. Fingerprints at one place only are
+dropped; the windows of the others are joined by content to their first
+occurrence in the order of (doc_id, line). A window that stood earlier is a later repeat;
 windows that overlap extend each other to both sides, and the lines they
 cover are deleted. The first occurrence of every line stays.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut, packed, unpacked, without_lines
+from folio.llm.common import cut, drop, packed, unpacked, without_lines
 
 MIN_WORDS, MAX_LINES = 50, 8
 SALTS = 16
@@ -27,7 +27,7 @@ def _zero() -> Column:
 
 
 def _windows(h: Column, w: Column, min_words: int, max_lines: int) -> Column:
-    """array<struct<at, len>> of the windows that begin or end at each line; at counts non-blank lines from 0."""
+    """array<bigint> of the windows that begin or end at each line: place, counted over non-blank lines from 0, times (max_lines + 1), plus length."""
 
     def grow(i: Column, step: int) -> Column:
         # Lines that a window takes from line i on, going forth or back; 0 if the text ends before.
@@ -38,10 +38,12 @@ def _windows(h: Column, w: Column, min_words: int, max_lines: int) -> Column:
 
         return F.aggregate(F.sequence(_zero(), F.lit(max_lines - 1)), F.struct(_zero().alias("n"), _zero().alias("words")), more, lambda s: F.when((s["words"] >= min_words) | (s["n"] == max_lines), s["n"]).otherwise(0))
 
+    # One number a window: numbers are told apart by a hash set, structs by comparing each with each.
+    number = lambda at, n: F.when(n > 0, at.cast("long") * (max_lines + 1) + n)
     each = F.sequence(_zero(), F.size(h) - 1)
-    forth = F.transform(each, lambda i: F.struct(i.alias("at"), grow(i, 1).alias("len")))
-    back = F.transform(F.transform(each, lambda i: F.struct(i.alias("i"), grow(i, -1).alias("n"))), lambda s: F.struct((s["i"] - s["n"] + 1).alias("at"), s["n"].alias("len")))
-    return F.when(F.size(h) > 0, F.array_distinct(F.filter(F.concat(forth, back), lambda s: s["len"] > 0))).otherwise(F.array().cast("array<struct<at:int,len:int>>"))
+    forth = F.transform(each, lambda i: number(i, grow(i, 1)))
+    back = F.transform(F.transform(each, lambda i: F.struct(i.alias("i"), grow(i, -1).alias("n"))), lambda s: number(s["i"] - s["n"] + 1, s["n"]))
+    return F.when(F.size(h) > 0, F.array_distinct(F.filter(F.concat(forth, back), lambda x: x.isNotNull()))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -57,16 +59,27 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS, max_lines: int = MAX
     """doc_id, text_key, and the numbers (from 0) of the lines to delete, ascending."""
     # A document that is there twice row for row counts once.
     lines = _lines(docs).dropDuplicates(["doc_id", "text_key"])
-    windows = lines.select("doc_id", "text_key", "at_line", "h", F.explode(_windows(F.col("h"), F.col("w"), min_words, max_lines)).alias("s"))
-    part = F.slice("h", F.col("s.at") + 1, F.col("s.len"))
-    windows = cut(windows.select("doc_id", "text_key", F.col("s.at").alias("at"), F.element_at("at_line", F.col("s.at") + 1).alias("a"), F.element_at("at_line", F.col("s.at") + F.col("s.len")).alias("b"), F.array_min(part).alias("mark"), F.xxhash64(part, F.reverse(part)).alias("content")))
-    # Fingerprints found at two places at least; each is tested by its windows.
+
+    def window(x: Column) -> Column:
+        # All that is needed of a window, so that no array is carried along with what is exploded.
+        at, n = F.floor(x / (max_lines + 1)).cast("int"), F.pmod(x, F.lit(max_lines + 1)).cast("int")
+        part = F.slice("h", at + 1, n)
+        mark = F.array_min(part)
+        return F.struct(at.alias("at"), F.get("at_line", at).alias("a"), F.get("at_line", at + n - 1).alias("b"), mark.alias("mark"), (at + F.array_position(part, mark).cast("int") - 1).alias("mark_at"), F.xxhash64(part, F.reverse(part)).alias("content"))
+
+    found = lines.select("doc_id", "text_key", "at_line", "h", _windows(F.col("h"), F.col("w"), min_words, max_lines).alias("s"))
+    windows = cut(found.select("doc_id", "text_key", F.explode(F.transform("s", window)).alias("x")).select("doc_id", "text_key", "x.*"))
+    # Fingerprints at one place only are dropped; the windows of the others are compared.
+    spot = F.struct("doc_id", "text_key", "mark_at")
+    marks = windows.groupBy("mark").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).where(~F.col("lo").eqNullSafe(F.col("hi"))).select("mark")
+    met = cut(windows.join(marks, "mark", "left_semi"))
+    drop(windows)
     place = F.struct("doc_id", "text_key", "at")
-    first = windows.groupBy("mark", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    first = met.groupBy("mark", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
     salt = F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS))
     first = first.select(F.col("mark").alias("f_mark"), F.col("content").alias("f_content"), "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("f_salt"))
-    later = windows.withColumn("salt", salt).join(first, (F.col("mark") == F.col("f_mark")) & (F.col("content") == F.col("f_content")) & (F.col("salt") == F.col("f_salt"))).where(~place.eqNullSafe(F.col("first")))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("a", "b")), lambda s: F.sequence(s["a"], s["b"])))))
+    later = met.withColumn("salt", salt).join(first, (F.col("mark") == F.col("f_mark")) & (F.col("content") == F.col("f_content")) & (F.col("salt") == F.col("f_salt"))).where(~place.eqNullSafe(F.col("first")))
+    covered = F.sort_array(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("a", "b")), lambda s: F.sequence(s["a"], s["b"])))))
     return later.groupBy("doc_id", "text_key").agg(covered.alias("drop"))
 
 

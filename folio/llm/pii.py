@@ -11,10 +11,10 @@ IC = log(n / n_e). A term is disclosing if for some entity
 * PMI reaches ``disclosure`` times IC, and
 * it stands in contexts of the entity at least ``share`` of the times that it
   stands anywhere: who reads it guesses the entity at even odds or better, and
-* ``support`` contexts that differ hold it: copies of a text count once.
+* ``support`` documents hold it near the entity, in contexts that differ:
+  repeats within a document count once, and so do copies.
 
-So an entity that stands in two places only can have such terms as well: the
-words which those places share and which are found nowhere else. Disclosing
+Rows with the same doc_id and text count once on all sides. Disclosing
 terms are spans wherever they stand, also in documents without the entity.
 Entities are generalised to their kind, terms are removed.
 """
@@ -93,17 +93,29 @@ def _contexts(scanned: DataFrame, near: int) -> DataFrame:
     return rows.select("doc_id", "text_key", "entity", "context", "w.term", "w.start")
 
 
+def _counts(docs: DataFrame) -> DataFrame:
+    """term, n_t over the corpus: each doc_id and text once. Counts are summed in tasks before they are shuffled.
+
+    All rows are counted; then, of texts that are there m times under one
+    doc_id, m - 1 times their words are taken off, so only such texts are shuffled.
+    """
+    words = F.explode(F.array_append(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower), F.lit(""))).alias("term")
+    rows = documents(docs).withColumn("text_key", F.xxhash64("text"))
+    more = cut(rows.groupBy("doc_id", "text_key").agg((F.count("*") - 1).alias("more")).where("more > 0").select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), "more"))
+    again = rows.join(more, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_key") == F.col("m_key"))).dropDuplicates(["doc_id", "text_key"])
+    each = rows.select(words, F.lit(1).cast("long").alias("c")).union(again.select(words, -F.col("more")))
+    return each.groupBy("term").agg(F.sum("c").alias("n_t"))
+
+
 def disclosing_terms(docs: DataFrame, scanned: DataFrame, disclosure: float = DISCLOSURE, share: float = SHARE, support: int = SUPPORT, near: int = NEAR) -> DataFrame:
     """entity, term pairs above the thresholds."""
     # A position near two occurrences of an entity counts once.
     met = cut(_contexts(scanned, near).groupBy("doc_id", "text_key", "entity", "term", "start").agg(F.min("context").alias("context")))
     n_e = met.groupBy("entity").agg(F.count_distinct("doc_id", "text_key", "start").alias("n_e"))
-    n_te = met.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
+    each = met.groupBy("entity", "term", "doc_id", "text_key").agg(F.count("*").alias("n"), F.min("context").alias("context"))
+    n_te = each.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
     pairs = cut(n_te.select("entity", "term", "n_te").join(cut(n_e), "entity"))
-    # All words of the corpus, repeated rows left out of neither side; counts are summed in tasks before they are shuffled.
-    words = F.array_append(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower), F.lit(""))
-    rows = documents(docs)
-    counts = cut(rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
+    counts = cut(_counts(docs))
     # Each row has an empty word besides, so that an empty corpus has a count too.
     n = counts.agg(F.sum("n_t").alias("n"))
     told = pairs.join(counts, "term").crossJoin(F.broadcast(n))  # n is one row

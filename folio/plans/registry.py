@@ -299,7 +299,7 @@ def _feeds(s: SparkSession, d: str) -> DataFrame:
         F.when(i % 3 == 0, F.concat(F.lit('<link href="http://x/'), i, F.lit('" title="pdf" rel="related"/>'))).otherwise(F.lit("")),
     )
     feed = F.concat(F.lit('<feed xmlns:opensearch="o" xmlns:arxiv="a"><opensearch:totalResults>'), i % 50 + 1, F.lit("</opensearch:totalResults><opensearch:startIndex>0</opensearch:startIndex><entry>"), entry, F.lit("</entry></feed>"))
-    return _papers(s, d).select(F.when(i % 7 == 0, F.lit("Rate exceeded.")).otherwise(feed).alias("xml"))
+    return _papers(s, d).select(F.when(i % 7 != 0, F.col("base_id")).alias("base_id"), F.when(i % 7 == 0, F.lit("Rate exceeded.")).otherwise(feed).alias("xml"))
 
 
 query("atom_documents", f"""WITH {P} SELECT (doc_id % 50 + 1)::bigint AS total_results, id, trim(title) AS title, abstract, array_to_string(authors, ', ') AS authors, primary_category, array_to_string(categories, ', ') AS categories, published, updated, comment, journal_ref, doi,
@@ -307,3 +307,5 @@ CASE WHEN doc_id % 3 = 0 THEN 'http://x/' || doc_id ELSE pdf_url END AS pdf_url,
     lambda s, d: corpus.read_feeds(_feeds(s, d)).select("total_results", "id", "title", "abstract", F.array_join("authors", ", ").alias("authors"), "primary_category", F.array_join("categories", ", ").alias("categories"), "published", "updated", "comment", "journal_ref", "doi", "pdf_url", "abstract_url")
 )
 query("resource_list", "SELECT 'corpus://categories' AS uri, 'Categories' AS name, 'application/json' AS mime_type")(lambda s, d: s.createDataFrame([("corpus://categories", "Categories", "application/json")], "uri string, name string, mime_type string"))
+
+from folio.plans import corpora  # noqa: E402, F401  its queries are registered when it is imported

@@ -215,18 +215,3 @@ def test_other_queries_stand_without_the_corpus_operators(tmp_path):
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 60 and set(o) <= set(q) and 'pipeline' not in q and 'op4_token_counts' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
-
-
-@pytest.mark.parametrize("text", ["ti:the", "all:src3", 'au:"Author 7"', "abs:the ANDNOT jr:journal", "(ti:que OR cat:cs.CL) AND co:characters", "the cs.AI", 'abs:"of the"'])
-def test_index_gives_what_a_scan_gives(spark, tmp_path_factory, text):
-    from folio.operators import index, search
-
-    papers = corpus.papers_of_documents(spark, "/root/testdata/sf0.001")
-    where = tmp_path_factory.getbasetemp() / "index"
-    if not where.exists():
-        index.build(papers, str(where), folders=8)
-    found = index.matching(papers, spark.read.parquet(str(where)), text, folders=8)
-    assert {r["id"] for r in found.select("id").collect()} == {r["id"] for r in search.matching(papers, text).select("id").collect()}
-    if text == "ti:the":
-        plan = found._jdf.queryExecution().executedPlan().toString()
-        assert "PartitionFilters: [isnotnull(folder" in plan and "EqualTo(token,the)" in plan

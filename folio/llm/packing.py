@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -134,14 +136,15 @@ def fit(items: list[int], lengths: list[int], bins: list[list[int]], free: list[
 
 def lower_bound(lengths: list[int], capacity: int) -> int:
     """Bins that any packing needs: by the sum, and by items of over half a bin with what can't go beside them."""
-    best = -(-sum(lengths) // capacity)
-    for least in {n for n in lengths if 2 * n <= capacity} | {0}:
-        alone = sum(1 for n in lengths if n > capacity - least)
-        large = [n for n in lengths if capacity - least >= n > capacity // 2]
-        small = sum(n for n in lengths if least <= n <= capacity // 2)
-        best = max(best, alone + len(large) + max(0, -(-(small - (len(large) * capacity - sum(large))) // capacity)))
-        if least == 0 and best == -(-sum(lengths) // capacity) and not large:
-            break
+    ordered = sorted(lengths)
+    sums, half = [0, *accumulate(ordered)], bisect_right(ordered, capacity // 2)
+    best = -(-sums[-1] // capacity)
+    for least in {0, *ordered[:half]}:
+        # Items above ``most`` are alone; those of over half a bin are in bins of their own, with room for smaller ones from ``least`` on.
+        most = bisect_right(ordered, capacity - least)
+        room = (most - half) * capacity - (sums[most] - sums[half])
+        small = sums[half] - sums[bisect_left(ordered, least)]
+        best = max(best, len(ordered) - half + max(0, -(-(small - room) // capacity)))
     return best
 
 
@@ -227,6 +230,7 @@ def _islands(state: DataFrame, capacity: int, seed: int) -> DataFrame:
 
 def _packed_groups(groups: DataFrame, capacity: int) -> DataFrame:
     """group, bins: the best packing found for each group (group, lengths, population), as the bin of every item."""
+    spark = groups.sparkSession
     # One island each; groups that are solved at once, mostly by best fit, need no others.
     state = cut(_islands(groups.withColumn("island", F.lit(0)), capacity, 0))
     best, tables = [state], [state]
@@ -243,7 +247,7 @@ def _packed_groups(groups: DataFrame, capacity: int) -> DataFrame:
             open_ = open_.join(left, "group")
             guests = open_.select("group", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("population", 1, 1).alias("guest"))
             state = open_.join(guests, ["group", "island"]).withColumn("population", F.concat("population", "guest"))
-        state = cut(_islands(state.repartition("group", "island"), capacity, turn))
+        state = cut(_islands(state.repartition(spark.sparkContext.defaultParallelism * 4, "group", "island"), capacity, turn))
         best.append(state)
         tables.append(state)
     first = F.get("population", F.lit(0))

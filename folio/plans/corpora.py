@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.operators import diff, vocabulary
+from folio.operators import diff, links, rules, sections, vocabulary
 from folio.plans.registry import ORACLE_SQL, P, _feeds, query
 from folio.sources import corpus, feed_source, scratch
 
@@ -74,3 +74,62 @@ query("mirror_diff", f"WITH {_COPIES} SELECT coalesce(a.page_id, b.page_id) AS p
 query("mirror_line_edits", f"""WITH {_COPIES}, touched AS (SELECT * FROM each WHERE page_id % 3 = 2 AND page_id % 4 = 0)
 SELECT page_id::varchar AS key, '-' AS op, (k + 1)::int AS line, x AS content FROM touched WHERE k % 7 = 3 OR k % 5 = 4
 UNION ALL SELECT page_id::varchar, '+', (k + 1 - (k + 4) // 7)::int, x || ' (mirror)' FROM touched WHERE k % 7 <> 3 AND k % 5 = 4""")(lambda s, d: diff.line_edits(*_copies(s, d), "page_id", "text"))
+
+# --- rules over lines -----------------------------------------------------------------
+
+RULES = {
+    "license": ("license", "[Ll]icense[a-z]*"), "license_name": ("license", "[A-Z][A-Za-z]+ [Ll]icense"), "mail": ("@", "[A-Za-z0-9.]+@[A-Za-z0-9.]+"), "access_key": ("AKIA", "AKIA[A-Z0-9]+"),
+    "password": ("password", "password[ :='\"]+[A-Za-z0-9]+"), "address": ("http", "https?://[a-z.]+"),
+}
+_RULES = "(VALUES " + ", ".join(f"('{name}', '{pattern.replace(chr(39), chr(39) * 2)}')" for name, (_, pattern) in RULES.items()) + ") r(rule, p)"
+query("line_findings", f"""SELECT doc_id, line::int AS line, rule, regexp_extract(x, p) AS match FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), {_RULES} WHERE regexp_matches(x, p)""")(
+    lambda s, d: rules.findings(s.read.parquet(f"{d}/documents.parquet"), RULES)
+)
+
+# --- walks along links ------------------------------------------------------------------
+
+_HOST, _HREF, _TITLE = "^[a-z]+://([^/]+)", 'href="(/[^"]*)"', "<title>([^ <]*)"
+STEPS = 3
+
+
+def _links(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Links from hosts to what their pages link to, and from a title's first word, as a path, to the same. Roots are the hosts."""
+    pages = s.read.parquet(f"{d}/pages.parquet")
+    out = pages.select(F.regexp_extract("url", _HOST, 1).alias("host"), F.concat(F.lit("/"), F.regexp_extract("html", _TITLE, 1)).alias("title"), F.explode(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))).alias("dst"))
+    return out.select(F.col("host").alias("src"), "dst").union(out.select("title", "dst")), pages.select(F.regexp_extract("url", _HOST, 1).alias("root"))
+
+
+def _walked(s: SparkSession, d: str) -> DataFrame:
+    return links.walk(*_links(s, d), scratch.table, most=STEPS)
+
+
+_WALK = f"""RECURSIVE p AS (SELECT regexp_extract(url, '{_HOST}', 1) AS host, '/' || regexp_extract(html, '{_TITLE}', 1) AS title, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS dst FROM pages),
+e AS (SELECT host AS src, dst FROM p UNION SELECT title, dst FROM p),
+w(root, node, depth) AS (SELECT DISTINCT regexp_extract(url, '{_HOST}', 1), regexp_extract(url, '{_HOST}', 1), 0 FROM pages UNION SELECT root, e.dst, depth + 1 FROM w JOIN e ON w.node = e.src WHERE depth < {STEPS}),
+walked AS (SELECT root, node, min(depth)::int AS depth FROM w GROUP BY ALL)"""
+query("link_walk", f"WITH {_WALK} SELECT * FROM walked")(_walked)
+query("link_reach", f"WITH {_WALK} SELECT root, count(*) - 1 AS n_nodes, max(depth) AS depth FROM walked GROUP BY root")(lambda s, d: links.reach(_walked(s, d)))
+
+# --- sections -------------------------------------------------------------------------
+
+#: Headings that the pages lack, before an advertisement, the lead and the footer.
+_ADDED = [('<div class="ad">', '<h3>Notice</h3><div class="ad">'), ("<p><b>", "<h2>Lead</h2><p><b>"), ("<footer>", "<h1>Foot</h1><p>")]
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    html = F.col("html")
+    for old, new in _ADDED:
+        html = F.replace(html, F.lit(old), F.lit(new))
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", html.alias("html"))
+
+
+_WITH = "html"
+for _old, _new in _ADDED:
+    _WITH = f"replace({_WITH}, '{_old}', '{_new}')"
+_PARTS = f"string_split(regexp_replace({_WITH}, '(?i)<(h[1-6]|p|li)\\b', chr(1) || '<\\1', 'g'), chr(1))"
+_LAST = "last_value(CASE WHEN level = {0} THEN {1} END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos)"
+query("page_sections", rf"""WITH b AS (SELECT page_id, unnest({_PARTS}) AS b, generate_subscripts({_PARTS}, 1) AS pos FROM pages),
+c AS (SELECT page_id, pos, try_cast(nullif(regexp_extract(b, '^<[hH]([1-6])', 1), '') AS int) AS level, trim(regexp_replace(regexp_replace(split_part(regexp_replace(b, '(?i)</(h[1-6]|p|li)>', chr(2), 'g'), chr(2), 1), '<[^>]*>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS content FROM b WHERE pos > 1),
+n AS (SELECT *, count(level) OVER (PARTITION BY page_id ORDER BY pos)::int AS section, {", ".join(f"{_LAST.format(n, 'pos')} AS p{n}, {_LAST.format(n, 'content')} AS h{n}" for n in (1, 2, 3))} FROM c WHERE content <> ''),
+p AS (SELECT *, array_to_string(list_filter([h1, CASE WHEN p2 > coalesce(p1, -1) THEN h2 END, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN h3 END], lambda x: x IS NOT NULL), ' > ') AS path FROM n)
+SELECT page_id, section, max(level) AS level, max(content) FILTER (level IS NOT NULL) AS heading, max(path) AS path, count(*) FILTER (level IS NULL) AS n_blocks, coalesce(sum(length(content)) FILTER (level IS NULL), 0)::bigint AS n_chars FROM p GROUP BY page_id, section""")(lambda s, d: sections.sections(_pages(s, d)))

@@ -122,3 +122,43 @@ def test_states_of_two_copies(spark):
     side = lambda rows: spark.createDataFrame(rows, "id long, t string")
     got = {r["id"]: r["state"] for r in diff.compare(side([(1, "a"), (2, "b"), (3, None), (5, "x"), (6, None)]), side([(1, "a"), (2, "c"), (3, None), (4, "y"), (6, "")]), "id", "t").collect()}
     assert got == {1: "same", 2: "drifted", 3: "same", 4: "extra", 5: "missing", 6: "drifted"}
+
+
+def test_rules_against_a_plain_loop(spark):
+    import re
+
+    from folio.operators import rules
+
+    texts = [None, "", "no\nLicense here\n", "MIT License, GPL license a@b.c\nAKIAXY12\npassword= x1", "LICENSE\nlicence", "a@b@c\n\nhttp://x.org http://y.org"]
+    df = spark.createDataFrame([(i, t, "m") for i, t in enumerate(texts)], "doc_id long, text string, match string")
+    want = sorted((i, k, name, m[0]) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"), 1) for name, (_, p) in corpora.RULES.items() if (m := re.search(p, x)))
+    assert len(want) >= 7 and sorted(map(tuple, rules.findings(df, corpora.RULES).collect())) == want
+    assert rules.findings(df, {}).collect() == [] and rules.findings(df.limit(0), corpora.RULES).collect() == []
+    plan = rules.findings(df, corpora.RULES)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_walks_end_in_cycles(spark):
+    from folio.operators import links
+
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("c", "d"), ("x", "x"), (None, "a"), ("d", None), ("y", "d")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    roots = spark.createDataFrame([("a",), ("x",), ("a",), ("alone",), (None,)], "root string")
+    want = {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("x", "x", 0), ("alone", "alone", 0)}
+    found = links.walk(df, roots, scratch.table)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert {tuple(r) for r in links.reach(found).collect()} == {("a", 3, 3), ("x", 0, 0), ("alone", 0, 0)}
+    assert {tuple(r) for r in links.walk(df, roots, scratch.table, most=1).collect()} == {x for x in want if x[2] < 2}
+    assert links.walk(df, roots.limit(0), scratch.table).collect() == []
+
+
+def test_sections_stand_under_their_nearest_headings(spark):
+    from folio.operators import sections
+
+    page = "<p>before</p><h1>A</h1><p>one <b>two</b></p><h3>deep</h3><li>x<li>y</li><H2 class='k'>B</H2><p> </p><h3>C</h3><p>z</p><h1>D</h1><p>end"
+    df = spark.createDataFrame([(1, page, 0), (2, None, 0), (3, "", 0), (4, "<h2>only</h2>", 0), (5, "no blocks", 0)], "page_id long, html string, pos int")
+    got = sorted(map(tuple, sections.sections(df).collect()))
+    assert got == [
+        (1, 0, None, None, "", 1, 6), (1, 1, 1, "A", "A", 1, 7), (1, 2, 3, "deep", "A > deep", 2, 2), (1, 3, 2, "B", "A > B", 0, 0),
+        (1, 4, 3, "C", "A > B > C", 1, 1), (1, 5, 1, "D", "D", 1, 3), (4, 1, 2, "only", "only", 0, 0),
+    ]

@@ -29,6 +29,7 @@ from folio.llm.common import cut, documents, drop, numbered, slices
 #: Pieces in a group, and groups that meet in one of the next level.
 GROUP, MEET = 4096, 16
 ISLANDS, POPULATION, GENERATIONS, ROUNDS = 2, 4, 4, 3
+_STOPS = frozenset(".,;:!?")
 _STATE = "group long, island int, lengths array<int>, population array<array<int>>, n_bins long, squares long, solved boolean"
 
 
@@ -47,7 +48,10 @@ class ChunkIds:
     def chunk(self, chunk: str) -> bytes:
         found = self.kept.get(chunk)
         if found is None:
-            found = self.words([chunk] if chunk.isascii() and chunk.isalpha() else self.bpe.pretokens(chunk))
+            if chunk[-1:] in _STOPS and chunk[:-1].isalpha():  # letters and a stop are words of their own
+                found = self.chunk(chunk[:-1]) + self.chunk(chunk[-1])
+            else:
+                found = self.words([chunk] if chunk.isascii() and chunk.isalpha() else self.bpe.pretokens(chunk))
             if len(chunk) <= 64:
                 self.kept.put(chunk, found)
         return found

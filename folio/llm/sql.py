@@ -24,7 +24,7 @@ twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(5)) AS k) GROUP BY doc_id),
 l AS (SELECT doc_id, source, text, regexp_replace(lower(trim(regexp_replace(x, '{_SPACE}', ' ', 'g'))), '[0-9]+', '0', 'g') AS h, len({_WORDS.format("x")}) AS n FROM (SELECT doc_id, source, text, unnest(lines) AS x FROM d)),
 hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
-bad AS (SELECT l.source, h FROM l JOIN hosts ON l.source = hosts.source GROUP BY l.source, h, hosts.n HAVING count(DISTINCT text) > {quality.MIN_DOCS} AND count(DISTINCT text) > hosts.n * {quality.MIN_SHARE}),
+bad AS (SELECT l.source, h FROM l JOIN hosts ON l.source = hosts.source GROUP BY l.source, h, hosts.n HAVING count(DISTINCT text) > {quality.MIN_DOCS} AND (count(DISTINCT text) > hosts.n * {quality.MIN_SHARE} OR count(DISTINCT text) > {quality.MANY_DOCS})),
 gone AS (SELECT doc_id, sum(l.n)::bigint AS n FROM l JOIN bad ON l.source = bad.source AND l.h = bad.h GROUP BY doc_id),
 b AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
   coalesce(rep.n, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(w) AS base_failed, coalesce(gone.n, 0) AS n_boilerplate_words FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folio.operators import categories as cat
 from folio.operators import content, lookup, search
+from folio.plans import table_functions
 from folio.schema import CATEGORIES, CODES, GROUPS
 from folio.sources import corpus
 
@@ -115,6 +116,5 @@ class Engine:
         return lookup.as_json(rows.limit(1)).select("json")
 
     def register(self) -> None:
-        """Temporary views papers and categories for SQL."""
-        self.papers.createOrReplaceTempView("papers")
-        corpus.categories(self.spark).createOrReplaceTempView("categories")
+        """Temporary views papers and categories for SQL, and the calls as table functions (see ``table_functions``)."""
+        table_functions.register(self.spark, self.papers, corpus.categories(self.spark), self.native, self.mirror)

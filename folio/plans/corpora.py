@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators import diff, links, rules, sections, vocabulary
-from folio.plans.registry import ORACLE_SQL, P, _feeds, query
+from folio.plans import sql, table_functions
+from folio.plans.registry import ORACLE_SQL, RB, P, _feeds, query
 from folio.sources import corpus, feed_source, scratch
 
 # --- feed files -----------------------------------------------------------------
@@ -133,3 +134,28 @@ c AS (SELECT page_id, pos, try_cast(nullif(regexp_extract(b, '^<[hH]([1-6])', 1)
 n AS (SELECT *, count(level) OVER (PARTITION BY page_id ORDER BY pos)::int AS section, {", ".join(f"{_LAST.format(n, 'pos')} AS p{n}, {_LAST.format(n, 'content')} AS h{n}" for n in (1, 2, 3))} FROM c WHERE content <> ''),
 p AS (SELECT *, array_to_string(list_filter([h1, CASE WHEN p2 > coalesce(p1, -1) THEN h2 END, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN h3 END], lambda x: x IS NOT NULL), ' > ') AS path FROM n)
 SELECT page_id, section, max(level) AS level, max(content) FILTER (level IS NOT NULL) AS heading, max(path) AS path, count(*) FILTER (level IS NULL) AS n_blocks, coalesce(sum(length(content)) FILTER (level IS NULL), 0)::bigint AS n_chars FROM p GROUP BY page_id, section""")(lambda s, d: sections.sections(_pages(s, d)))
+
+# --- SQL table functions ------------------------------------------------------------------
+
+
+def _called(statement: str):
+    """The statement with the catalogue's functions at hand."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        papers = corpus.papers_of_documents(s, d)
+        table_functions.register(s, papers, corpus.categories(s), *corpus.renderings_of_pages(s, d))
+        return s.sql(statement)
+
+    return run
+
+
+_ASKED = "array(" + ", ".join(f"'{i}v1'" for i in [*WANTED[:8], WANTED[0], WANTED[-1]]) + ")"
+_IN = ", ".join(f"({k}, '{i}')" for k, i in enumerate([*WANTED[:8], WANTED[0], WANTED[-1]]))
+query("sql_get_metadata", f"WITH {P}, a(place, key) AS (SELECT min(k), i FROM (VALUES {_IN}) v(k, i) GROUP BY i) SELECT place, id, title, doi FROM papers JOIN a ON base_id = key")(_called(f"SELECT place, id, title, doi FROM get_metadata({_ASKED})"))
+query("sql_missing_papers", f"WITH {P} SELECT k AS place, i || 'v1' AS id, 'not_in_arxiv' AS reason FROM (VALUES {_IN}) v(k, i) WHERE i NOT IN (SELECT base_id FROM papers)")(_called(f"SELECT * FROM missing_papers({_ASKED})"))
+query("sql_read_paper", f"WITH {RB} SELECT id AS paper_id, title, substring(body, 101, 300) AS content, source, 100 + length(substring(body, 101, 300)) < length(body) AS truncated, 100::bigint AS start, length(raw) AS total_characters, length(body) AS body_characters, pdf_url, abstract_url FROM bodies")(
+    _called("SELECT r.* FROM papers p, LATERAL read_paper(p.id, 100, 300) r")
+)
+query("sql_papers_by_group", f"WITH {P}, {sql.CATS} SELECT grp, count(*) AS n FROM papers JOIN cats ON primary_category = code WHERE grp IN ('math', 'econ') GROUP BY grp")(
+    _called("SELECT c.grp, count(*) AS n FROM papers p JOIN (SELECT * FROM list_categories('math') UNION ALL SELECT * FROM list_categories('econ')) c ON p.primary_category = c.code GROUP BY c.grp")
+)

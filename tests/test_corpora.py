@@ -162,3 +162,31 @@ def test_sections_stand_under_their_nearest_headings(spark):
         (1, 0, None, None, "", 1, 6), (1, 1, 1, "A", "A", 1, 7), (1, 2, 3, "deep", "A > deep", 2, 2), (1, 3, 2, "B", "A > B", 0, 0),
         (1, 4, 3, "C", "A > B > C", 1, 1), (1, 5, 1, "D", "D", 1, 3), (4, 1, 2, "only", "only", 0, 0),
     ]
+
+
+def test_table_functions_give_the_calls_rows(spark):
+    from folio.engine import CatalogueError, Engine
+    from folio.sources import corpus
+
+    engine = Engine(spark, corpus.papers_of_documents(spark, SF), *corpus.renderings_of_pages(spark, SF))
+    engine.register()
+    ids = ["2403.00002", "9999.99999", "2401.00000v7", "2403.00002v1"]
+    row = engine.get_metadata(ids).head()
+    listed = "array(" + ", ".join(map(repr, ids)) + ")"
+    found = spark.sql(f"SELECT * FROM get_metadata({listed}) ORDER BY place").collect()
+    assert [r["id"] for r in found] == [p["id"] for p in row["papers"]] and [r["title"] for r in found] == [p["title"] for p in row["papers"]]
+    assert [(r["id"], r["reason"]) for r in spark.sql(f"SELECT * FROM missing_papers({listed})").collect()] == [(x["id"], x["reason"]) for x in row["not_found"]]
+    assert sorted(map(tuple, spark.sql("SELECT * FROM list_categories('econ')").collect())) == sorted(map(tuple, engine.list_categories("econ").collect()))
+    assert spark.sql("SELECT * FROM list_categories()").count() == 155
+    read = 0
+    for paper in engine.papers.select("id").limit(12).collect():
+        try:
+            want = engine.read_paper(paper["id"], 50, 30).head().asDict()
+        except CatalogueError:
+            continue
+        got = spark.sql(f"SELECT * FROM read_paper('{paper['id']}', 30, 50)").head().asDict()
+        assert got == {k: want[k] for k in got}
+        read += 1
+    assert read >= 3 and spark.sql("SELECT * FROM read_paper('2403.00002', -1, 5)").collect() == []
+    plan = spark.sql("SELECT r.* FROM papers p, LATERAL read_paper(p.id, 0, 9) r")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan

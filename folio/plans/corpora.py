@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.functions.versions import version_key
 from folio.operators import diff, links, rules, sections, vocabulary
 from folio.plans import sql, table_functions
 from folio.plans.registry import ORACLE_SQL, RB, P, _feeds, query
@@ -159,3 +160,24 @@ query("sql_read_paper", f"WITH {RB} SELECT id AS paper_id, title, substring(body
 query("sql_papers_by_group", f"WITH {P}, {sql.CATS} SELECT grp, count(*) AS n FROM papers JOIN cats ON primary_category = code WHERE grp IN ('math', 'econ') GROUP BY grp")(
     _called("SELECT c.grp, count(*) AS n FROM papers p JOIN (SELECT * FROM list_categories('math') UNION ALL SELECT * FROM list_categories('econ')) c ON p.primary_category = c.code GROUP BY c.grp")
 )
+
+# --- versions ---------------------------------------------------------------------------
+
+_VERSION_OF = "(doc_id % 3) || '.' || (doc_id % 11) || '.' || (doc_id % 7 + 8) || CASE WHEN doc_id % 4 = 0 THEN '-rc.' || (doc_id % 13) ELSE '' END"
+
+
+def _versions(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", F.expr(_VERSION_OF).alias("version")).withColumn("key", version_key(F.col("version")))
+
+
+query("version_newest", f"""SELECT source, version, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY split_part(version, '.', 1)::int DESC, split_part(version, '.', 2)::int DESC, split_part(split_part(version, '-', 1), '.', 3)::int DESC, contains(version, '-'), split_part(version, '-', 2) DESC, doc_id DESC) AS r
+FROM (SELECT doc_id, source, {_VERSION_OF} AS version FROM documents)) WHERE r = 1""")(lambda s, d: _versions(s, d).groupBy("source").agg(F.max_by(F.struct("version", "doc_id"), F.struct("key", "doc_id")).alias("x")).select("source", "x.version", "x.doc_id"))
+query("version_rank", f"""SELECT doc_id, version, dense_rank() OVER (PARTITION BY source ORDER BY split_part(version, '.', 1)::int DESC, split_part(version, '.', 2)::int DESC, split_part(split_part(version, '-', 1), '.', 3)::int DESC, contains(version, '-'), split_part(version, '-', 2) DESC) AS rank
+FROM (SELECT doc_id, source, {_VERSION_OF} AS version FROM documents)""")(lambda s, d: _ranked_versions(_versions(s, d)))
+
+
+def _ranked_versions(rows: DataFrame) -> DataFrame:
+    """The rank of each row's version in its source, newest first. Only distinct versions are ranked, so a source of many rows isn't sorted in one task."""
+    own = rows.groupBy("source", "key").agg(F.lit(1)).select(F.col("source").alias("of"), F.col("key").alias("k"))
+    ranks = own.select("of", "k", F.dense_rank().over(Window.partitionBy("of").orderBy(F.col("k").desc())).alias("rank"))
+    return rows.join(ranks, F.col("source").eqNullSafe(F.col("of")) & (F.col("key") == F.col("k"))).select("doc_id", "version", "rank")

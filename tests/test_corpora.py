@@ -190,3 +190,13 @@ def test_table_functions_give_the_calls_rows(spark):
     assert read >= 3 and spark.sql("SELECT * FROM read_paper('2403.00002', -1, 5)").collect() == []
     plan = spark.sql("SELECT r.* FROM papers p, LATERAL read_paper(p.id, 0, 9) r")._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_versions_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from folio.functions.versions import version_key
+
+    order = ["0.0.9", "0.1.0-alpha", "0.1.0-beta", "0.1.0", "0.9.0", "0.10.0-rc.1", "0.10.0", "1.0.0", "10.0.0"]
+    df = spark.createDataFrame([(v,) for v in [*order[::-1], "", "1.0", "x", None]], "v string").withColumn("k", version_key(F.col("v")))
+    assert [r["v"] for r in df.where("k is not null").orderBy("k").collect()] == order and df.where("k is null").count() == 4

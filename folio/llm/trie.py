@@ -75,6 +75,7 @@ def sequences(own: DataFrame, every: int = 1, heads: int = 1) -> tuple[DataFrame
     begun = begun.select("conv_id", (F.col("i") + 1).cast("long").alias("depth"), "x.turn_id", "x.n_bytes", (size(F.expr("slice(prefix, i + 1, size(prefix))")) + F.col("rest")).alias("tail"))
     gone_on = placed.join(plan.select("conv_id", "h", "m"), "conv_id").where("p > h").select("conv_id", (F.col("m") + F.col("p") - F.col("h")).alias("depth"), "turn_id", "n_bytes", "tail")
     rows = cut(begun.union(gone_on).withColumnRenamed("conv_id", "seq"))
+    drop(own, placed, known)
     return rows, plan.select(F.col("conv_id").alias("seq"), F.col("len").cast("long").alias("len"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions import render
 from folio.plans.query import parse, predicate, score
@@ -48,26 +50,24 @@ def total(papers: DataFrame, query: str, category: str | None = None) -> DataFra
 def envelope(papers: DataFrame, query: str, category: str | None = None, max_results: int = 10, sort_by: str = "relevance", sort_order: str = "descending", start: int = 0) -> DataFrame:
     """One row: total_results, start, papers (array in order); also for a page past the end.
 
-    The page is limited to max_results rows before it is gathered.
+    Runs at once, as one job that scans the papers once: all matching rows are
+    counted by an observed metric on their way to the top rows of every task.
+    Only the page's max_results rows are gathered.
     """
-    rows = page(papers, query, category, max_results, sort_by, sort_order, start)
-    ranked = rows.withColumn("_sort", _sort_key(sort_by, sort_order))
-    items = F.transform(F.sort_array(F.collect_list(F.struct("_sort", F.struct(*PAPER_FIELDS).alias("p")))), lambda x: x["p"])
-    return total(papers, query, category).crossJoin(ranked.agg(items.alias("papers"))).select("total_results", F.lit(start).cast("bigint").alias("start"), "papers")
-
-
-def _sort_key(sort_by: str, sort_order: str) -> Column:
-    """The order of order_by as one ascending struct, to gather a page in order."""
-    down = sort_order == "descending"
-
-    def text(c: str, turned: bool) -> Column:
-        digits = F.regexp_replace(F.col(c), "[^0-9]", "").try_cast("bigint")
-        return F.negate(digits) if turned else digits
-
-    if sort_by in ("submitted", "updated"):
-        return F.struct(text("published" if sort_by == "submitted" else "updated", down).alias("a"), F.col("id").alias("b"))
-    points = F.col("_score")
-    return F.struct((F.negate(points) if down else points).alias("a"), text("published", True).alias("b"), F.col("id").alias("c"))
+    session = papers.sparkSession
+    counted = Observation()
+    found = matching(papers, query, category).observe(counted, F.count(F.lit(1)).alias("total_results"))
+    # A limit of no rows would run no job, so nothing would be counted.
+    top = scored(found, query, sort_by).orderBy(*order_by(sort_by, sort_order)).offset(start).limit(max(1, max_results))
+    rows = top.select(*PAPER_FIELDS)
+    taken = rows.collect()[:max_results]
+    try:
+        n = counted.get["total_results"]
+    except Py4JJavaError:
+        # Spark knew from the plan that the page is empty, and left out the scan with its metric.
+        n = total(papers, query, category).head()[0]
+    schema = T.StructType([T.StructField("total_results", T.LongType()), T.StructField("start", T.LongType()), T.StructField("papers", T.ArrayType(rows.schema))])
+    return session.createDataFrame([(n, start, taken)], schema)
 
 
 def as_text(found: DataFrame) -> DataFrame:

@@ -64,14 +64,18 @@ def numbered(df: DataFrame, *order: Column, running: str | None = None) -> DataF
     return placed.drop("_at", "_part", "_p", "_n_before", "_sum_before", "_own")
 
 
+def drop_folder(session: SparkSession, where: str) -> None:
+    """Delete a folder of tables in the shared folder."""
+    path = session._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote, once nothing reads them any more."""
     for table in tables:
-        session = table.sparkSession
         for where in {f.rpartition("/")[0] for f in table.inputFiles()}:
             if where.rpartition("/")[2].startswith("folio-"):
-                path = session._jvm.org.apache.hadoop.fs.Path(where)
-                path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+                drop_folder(table.sparkSession, where)
 
 
 def packed(docs: DataFrame) -> DataFrame:

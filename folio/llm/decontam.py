@@ -38,6 +38,8 @@ WINDOW = 13
 TERMS_PER_PASS = 500_000
 #: Different words that a task counts before it hands them on.
 COUNTED_WORDS = 200_000
+#: Bytes of anchors, as measured, up to which they are sent to the postings; beyond that Spark shuffles both.
+SENT_BYTES = 32 << 20
 #: Words of a window that a near match may lack, and those it may have besides; windows of under 13 words are allowed one for each six after the first.
 SLOP = 2
 
@@ -179,7 +181,7 @@ class PositionalIndex:
         if self.side < window - 1:
             raise ValueError("the index doesn't reach far enough for this window")
         anchors = self._cut(_anchors(self._ranked(benchmark), window))
-        met = self.postings(anchors).join(anchors, "term")
+        met = self.postings(anchors).join(_sent(anchors), "term")
         # Offset-adjusted intersection: how far the words around agree, to the left and to the right.
         around = F.slice("around", self.side - window + 2, 2 * window - 1)
         agree = F.zip_with(around, F.col("terms"), lambda a, b: F.coalesce(a == b, F.lit(False)))
@@ -193,7 +195,7 @@ class PositionalIndex:
         if self.side < window - 1 + 2 * slop:
             raise ValueError("the index doesn't reach far enough for this window and slop")
         anchors = self._cut(_near_anchors(self._ranked(benchmark), window, slop))
-        met = self.postings(anchors).join(anchors, "term")
+        met = self.postings(anchors).join(_sent(anchors), "term")
         # A word of the window that isn't around the posting is lacking wherever it stands in it.
         around = F.slice("around", F.lit(self.side + 1) - F.col("place") - 2 * F.col("slop"), F.size("terms") + 4 * F.col("slop"))
         met = met.where(F.size(F.array_except("terms", around)) <= F.col("slop")).select("doc_id", "row_key", "pos", "around", "item_id", "slop", "place", "terms")
@@ -205,6 +207,13 @@ class PositionalIndex:
         return placed.join(self.counts(placed), "term")
 
 
+def _sent(anchors: DataFrame) -> DataFrame:
+    """The anchors, to be sent to all tasks if their measured size allows it."""
+    size = F.aggregate("terms", F.lit(100).cast("bigint"), lambda n, t: n + 16 + F.coalesce(F.length(t), F.lit(0)))
+    measured = anchors.agg(F.sum(size + F.length("term") + F.length("item_id"))).head()[0] or 0
+    return F.broadcast(anchors) if measured <= SENT_BYTES else anchors
+
+
 def _agreeing(agree: Column, window: int) -> Column:
     """How many are true before the first that is false."""
     at = F.array_position(agree, F.lit(False)).cast("int")

@@ -237,10 +237,59 @@ class WordBpe:
         cut = max(common or {base})
         return self._back(lasts, base, cut), cut
 
+    def _within(self, word: str) -> tuple[str, ...]:
+        """Tokens of a word that is no longer than the lookahead, so that nothing is stable before its end.
+
+        The longest token that may follow is tried first. As only one token can
+        end a prefix, a place from which there is no way on is never tried again.
+        """
+        n, at, left, blocked = len(word), 0, "", set()
+        way: list[tuple[int, str, list[str]]] = []
+        options = self._starting(word, 0)
+        while True:
+            known = self._fits.get(left)
+            if known is None:
+                if len(self._fits) > self.cache_size:
+                    self._fits.clear()
+                known = self._fits[left] = {}
+            while options:
+                token = options.pop()
+                ok = known.get(token)
+                if ok is None:
+                    ok = known[token] = self._follows(left, token)
+                if ok:
+                    end = at + len(token)
+                    if end > n:
+                        return (*[t for _, t, _ in way], token)
+                    if end not in blocked:
+                        way.append((at, token, options))
+                        at, left, options = end, token, self._starting(word, end)
+                        break
+            else:
+                blocked.add(at)
+                at, _, options = way.pop()
+                left = way[-1][1] if way else ""
+
+    def _starting(self, word: str, at: int) -> list[str]:
+        """Tokens that begin at this place, shorter ones first; only a closing one may end the word."""
+        (further, token, closing), found = self._trie, []
+        for symbol in word[at:]:
+            node = further.get(symbol)
+            if node is None:
+                return found
+            further, token, closing = node
+            if token is not None:
+                found.append(token)
+        if token is not None:
+            found.pop()
+        if closing is not None:
+            found.append(closing)
+        return found
+
     def word(self, word: str) -> tuple[str, ...]:
         found = self._words.get(word)
         if found is None:
-            found = tuple(self.stream(word))
+            found = self._within(word) if 0 < len(word) <= self.lookahead else tuple(self.stream(word))
             if len(word) <= 64:
                 self._words.put(word, found)
         return found
@@ -248,7 +297,7 @@ class WordBpe:
     def prefix_counts(self, word: str) -> array:
         """Exact token count of every prefix of a word, each taken as a word of its own: one pass over the table of last tokens."""
         n = len(word)
-        lasts, opened, closed = [""] * (n + 1), array("i", bytes(4 * (n + 1))), array("i", bytes(4 * (n + 1)))
+        lasts, opened, closed = [""] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         for start in range(n):
             left = lasts[start]
             if start:
@@ -258,11 +307,13 @@ class WordBpe:
                 if len(self._fits) > self.cache_size:
                     self._fits.clear()
                 known = self._fits[left] = {}
-            further, count = self._trie[0], opened[start] + 1
-            for end in range(start + 1, min(n, start + self.lookahead) + 1):
-                node = further.get(word[end - 1])
+            further, count, end = self._trie[0], opened[start] + 1, start
+            # Tokens end within the lookahead, as the tree of tokens has no longer ones.
+            for symbol in word[start:] if n - start <= self.lookahead else word[start : start + self.lookahead]:
+                node = further.get(symbol)
                 if node is None:
                     break
+                end += 1
                 further, token, closing = node
                 if token is not None and not lasts[end]:
                     ok = known.get(token)
@@ -276,7 +327,7 @@ class WordBpe:
                         ok = known[closing] = self._follows(left, closing)
                     if ok:
                         closed[end] = count
-        return closed
+        return array("i", closed)
 
     def prefix_table(self, word: str) -> array:
         """prefix_counts, kept for short words."""
@@ -312,23 +363,33 @@ class WordBpe:
     def library_pretokens(self, text: str) -> list[str]:
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
-    def parts(self, text: str) -> Iterator[tuple[str, list[str]]]:
-        """('special', [string]), ('chunks', white-space separated chunks) or ('words', pre-tokens), a block of text at a time."""
+    def library_places(self, text: str) -> list[int]:
+        """Where the library's pre-tokens begin in the text as it was before normalisation."""
+        from tokenizers import PreTokenizedString
+
+        split = PreTokenizedString(text)
+        split.normalize(self.library.normalizer.normalize)
+        self.library.pre_tokenizer.pre_tokenize(split)
+        return [place[0] for _, place, _ in split.get_splits("original", "char")]
+
+    def parts(self, text: str) -> Iterator[tuple[str, list[str], str]]:
+        """('special', [string]), ('chunks', white-space separated chunks) or ('words', pre-tokens), and the piece of the text
+        that they are made of, a block at a time; the pieces make up the text."""
         for block in text_blocks(text):
             for i, part in enumerate(self.segments(block)):
                 if i % 2:
-                    yield "special", [part]
+                    yield "special", [part], part
                 elif (chunks := self.chunks(part)) is None:
-                    yield "words", self.library_pretokens(part)
+                    yield "words", self.library_pretokens(part), part
                 else:
-                    yield "chunks", chunks
+                    yield "chunks", chunks, part
 
     def encode(self, text: str) -> list[int]:
         return list(self.ids(text))
 
     def ids(self, text: str) -> Iterator[int]:
         """Token ids, each as soon as it is stable."""
-        for kind, items in self.parts(text):
+        for kind, items, _ in self.parts(text):
             for item in items:
                 if kind == "special":
                     yield self.special[item]
@@ -342,26 +403,40 @@ class WordBpe:
 
 
 class Decoder:
-    """Incremental decoder. ``tokens``: token names joined by a space, what a file without a decoder asks for.
-    ``text``: bytes to text by a UTF-8 state machine that holds back unfinished characters; word ends become spaces."""
+    """Incremental decoder, one for a document. ``tokens``: token names joined by a space, what a file without a decoder asks for.
+    ``text``: bytes to text by a UTF-8 state machine that holds back unfinished characters; word ends become spaces.
+
+    What tokens stand for as bytes doesn't depend on what came before
+    (``raw``), so it may be kept; only ``push`` has a state.
+    """
 
     def __init__(self, bpe: WordBpe, style: str = "tokens"):
         self.bpe, self.style, self.started = bpe, style, False
+        self.gap = b" " if style == "tokens" else b""
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, token_id: int) -> str:
-        name = self.bpe.names[token_id]
+    def raw(self, ids: Iterable[int]) -> bytes:
+        names = [self.bpe.names[i] for i in ids]
         if self.style == "tokens":
-            out, self.started = (" " if self.started else "") + name, True
-            return out
+            return " ".join(names).encode()
+        return b"".join(map(self._bytes, names))
+
+    def _bytes(self, name: str) -> bytes:
         if name in self.bpe.special:
-            return self.utf8.decode(b"") + name
+            return name.encode()
         ends = name.endswith(END) and len(name) > len(END)
-        body = name[: -len(END)] if ends else name
-        return self.utf8.decode(bytes(BYTE_OF[c] for c in body) + b" " * ends)
+        return bytes([BYTE_OF[c] for c in (name[: -len(END)] if ends else name)]) + b" " * ends
+
+    def push(self, raw: bytes) -> str:
+        """The text that is certain after these bytes of one token or more."""
+        out, self.started = (self.gap if self.started else b"") + raw, True
+        return self.utf8.decode(out)
+
+    def feed(self, token_id: int) -> str:
+        return self.push(self.raw([token_id]))
 
     def finish(self) -> str:
-        return self.utf8.decode(b"", True) if self.style == "text" else ""
+        return self.utf8.decode(b"", True)
 
 
 @lru_cache(maxsize=4)
@@ -371,35 +446,34 @@ def load(path: str) -> WordBpe:
 
 
 class ChunkCodec:
-    """Ids of white-space separated chunks, and the text that the decoder makes of the ids; kept for frequent chunks, in bounded tables that later tasks find."""
+    """Ids of white-space separated chunks and the bytes that they stand for, kept for frequent chunks in bounded tables that
+    later tasks find; a document's bytes go through one decoder."""
 
-    def __init__(self, bpe: WordBpe, size: int = 250_000):
-        self.bpe, self.kept = bpe, Kept(size)
+    def __init__(self, bpe: WordBpe, style: str = "tokens", size: int = 250_000):
+        self.bpe, self.style, self.kept = bpe, style, Kept(size)
+        self.raw = Decoder(bpe, style).raw
 
-    def _of(self, words: list[str]) -> tuple[int, bytes, bytes]:
-        ids, decoder = list(self.bpe.word_ids(words)), Decoder(self.bpe)
-        return len(ids), " ".join(map(str, ids)).encode(), ("".join(map(decoder.feed, ids)) + decoder.finish()).encode()
+    def _of(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        return len(ids), " ".join(map(str, ids)).encode(), self.raw(ids)
 
     def chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
         found = self.kept.get(chunk)
         if found is None:
-            found = self._of(self.bpe.pretokens(chunk))
+            found = self._of(list(self.bpe.word_ids(self.bpe.pretokens(chunk))))
             self.kept.put(chunk, found)
         return found
 
     def _long(self, words: Iterable[str], size: int = 4096) -> Iterator[tuple[int, bytes, bytes]]:
-        """Chunks of any length, a few thousand tokens at a time."""
+        """Words of any length, a few thousand tokens at a time."""
         ids = self.bpe.word_ids(words)
         while some := list(islice(ids, size)):
-            decoder = Decoder(self.bpe)
-            yield len(some), " ".join(map(str, some)).encode(), ("".join(map(decoder.feed, some)) + decoder.finish()).encode()
+            yield self._of(some)
 
     def _found(self, text: str) -> Iterator[list[tuple[int, bytes, bytes]]]:
         make = self.chunk
-        for kind, items in self.bpe.parts(text):
+        for kind, items, _ in self.bpe.parts(text):
             if kind == "special":
-                i = self.bpe.special[items[0]]
-                yield [(1, str(i).encode(), Decoder(self.bpe).feed(i).encode())]
+                yield [self._of([self.bpe.special[items[0]]])]
             elif kind == "words":
                 yield from ([x] for x in self._long(items))
             elif max(map(len, items), default=0) <= 64:
@@ -407,28 +481,28 @@ class ChunkCodec:
                 yield [get(c) or make(c) for c in items]
             else:
                 for c in items:
-                    yield [make(c)] if len(c) <= 64 else list(self._long(self.bpe.pretokens(c)))
+                    yield from [[make(c)]] if len(c) <= 64 else ([x] for x in self._long(self.bpe.pretokens(c)))
 
     def document(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, digests of the ids joined by a space and of the decoded text; both are fed block by block."""
-        n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+        n, ids, decoded, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(self.bpe, self.style)
         for found in self._found(text):
             if found := [x for x in found if x[0]]:
-                gap = b" " if n else b""
+                ids.update((b" " if n else b"") + b" ".join([x[1] for x in found]))
                 n += sum([x[0] for x in found])
-                ids.update(gap + b" ".join([x[1] for x in found]))
-                decoded.update(gap + b" ".join([x[2] for x in found]))
+                decoded.update(decoder.push(decoder.gap.join([x[2] for x in found])).encode())
+        decoded.update(decoder.finish().encode())
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
 @lru_cache(maxsize=2)
-def chunk_codec(path: str) -> ChunkCodec:
+def chunk_codec(path: str, style: str = "tokens") -> ChunkCodec:
     """One for each Python worker, so that later tasks find frequent chunks."""
-    return ChunkCodec(load(path))
+    return ChunkCodec(load(path), style)
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256 and decoded_sha256 (of what the decoder makes of the ids).
+def encode_documents(docs: DataFrame, path: str, style: str = "tokens") -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256 and decoded_sha256 (of what the decoder makes of the ids, in its style).
 
     A null text is empty: no tokens and the digests of the empty string.
     Repeated rows give repeated results; an empty table gives none. Documents
@@ -437,7 +511,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = chunk_codec(path)
+        codec = chunk_codec(path, style)
         for batch in slices(batches):
             rows = [codec.document(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

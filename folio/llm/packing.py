@@ -59,7 +59,7 @@ class ChunkIds:
     def blocks(self, text: str) -> Iterator[bytes]:
         """The ids of a text, a block of it at a time."""
         make = self.chunk
-        for kind, items in self.bpe.parts(text):
+        for kind, items, _ in self.bpe.parts(text):
             if kind == "special":
                 yield self.bpe.special[items[0]].to_bytes(4, "little")
             elif kind == "words":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut
+from folio.llm.common import cut, drop
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,9 +19,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         # The root of a label: hot labels are many rows on the side that AQE may split.
-        best = cut(labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("was")))
+        before, best = labels, cut(labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("was")))
         up = best.select(F.col("node").alias("up_node"), F.col("root").alias("up"))
         labels = cut(best.join(up, best["root"] == up["up_node"], "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root"), "was"))
+        drop(before, best)
         if labels.where("root <> was").isEmpty():
+            drop(both)
             return labels.select("node", "root")
         labels = labels.drop("was")

@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import ByteHashes, cut, documents, packed, slices, word_blocks
+from folio.llm.common import ByteHashes, cut, documents, drop, packed, slices, word_blocks
 from folio.llm.components import components
 
 WORDS, PERCENT = 4, 85
 HOT, SKETCH = 32, 0.25
+#: A shingle in so many rows of a batch of rows is counted there already.
+OFTEN = 3
 SALTS = 64
 
 
@@ -56,8 +58,9 @@ def _need(n: Column, m: Column, percent: int) -> Column:
 
 def _sets(docs: DataFrame, k: int, sketch: float, hot: int) -> DataFrame:
     """doc_id, sid (digest of the set, null if empty), n, m (size of the sketch), heavy (on one row of a batch: the shingles
-    of its sketches that stand in over ``hot`` of its rows)."""
+    of its sketches that stand in ``OFTEN`` of its rows or more, and in how many)."""
     bound = np.uint64(int(sketch * 2**64))
+    often_kind = pa.struct([("token", pa.int64()), ("rows", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,10 +72,11 @@ def _sets(docs: DataFrame, k: int, sketch: float, hot: int) -> DataFrame:
                     out.append((hashlib.blake2b(f.tobytes(), digest_size=16).digest() if len(f) else None, len(f), m, None))
             if out:
                 token, count = np.unique(np.concatenate(sketches), return_counts=True)
-                out[0] = (*out[0][:3], token[count > hot].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))))], ["doc_id", "sid", "n", "m", "heavy"])
+                often = count >= min(OFTEN, hot + 1)
+                out[0] = (*out[0][:3], [{"token": t, "rows": c} for t, c in zip(token[often].view(np.int64).tolist(), count[often].tolist())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.list_(often_kind))))], ["doc_id", "sid", "n", "m", "heavy"])
 
-    return docs.mapInArrow(run, "doc_id long, sid binary, n long, m long, heavy array<long>")
+    return docs.mapInArrow(run, "doc_id long, sid binary, n long, m long, heavy array<struct<token:long,rows:long>>")
 
 
 def _sketches(docs: DataFrame, k: int, sketch: float) -> DataFrame:
@@ -138,21 +142,22 @@ def _pairs(listed: DataFrame, percent: int) -> DataFrame:
     return met.select("x", "y").distinct()
 
 
-def _hub_pairs(listed: DataFrame, percent: int) -> DataFrame:
-    """Of every list, its least id with each other that it may link to."""
+def _hub_pairs(listed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of every list, its least id with each other that it may link to; the table of these ids first."""
     hubs = listed.groupBy("token").agg(F.min(F.struct("id", "n", "at")).alias("h"), F.count("*").alias("c")).where("c > 1").select("token", F.col("h.id").alias("x"), F.col("h.n").alias("xn"), F.col("h.at").alias("xat"))
     hubs = cut(hubs)  # a table, so that Spark can split a long list when it meets its hub
     met = _side(listed, "y").join(hubs, "token").where((F.col("x") < F.col("y")) & _may_link("xn", "xat", "yn", "yat", percent))
-    return met.select("x", "y").distinct()
+    return hubs, met.select("x", "y").distinct()
 
 
-def _cross_pairs(listed: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list that are in different components so far."""
+def _cross_pairs(listed: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a list that are in different components so far; the table of such lists first."""
     labelled = listed.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     mixed = cut(labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"))
     labelled = cut(labelled.join(mixed, "token", "left_semi"))
+    drop(mixed)
     met = _side(labelled, "x", "root").join(_side(labelled, "y", "root"), "token").where((F.col("x") < F.col("y")) & (F.col("xroot") != F.col("yroot")) & _may_link("xn", "xat", "yn", "yat", percent))
-    return met.select("x", "y").distinct()
+    return labelled, met.select("x", "y").distinct()
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -190,8 +195,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _short_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """token, id, n, at of the prefixes of short documents, over whole sets, rare shingles first."""
+def _short_lists(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """token, id, n, at of the prefixes of short documents, over whole sets, rare shingles first; and the table of counts."""
     tokens = sets.select("doc_id", F.explode("tokens").alias("token"))
     df = cut(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     shared = tokens.join(df, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
@@ -200,7 +205,7 @@ def _short_lists(sets: DataFrame, percent: int) -> DataFrame:
     # Shingles found once come before all others and join nothing.
     once = F.col("n") - F.size("shared")
     posts = F.transform(F.slice("shared", 1, F.greatest(size - once, F.lit(0)).cast("int")), lambda s, i: F.struct(s["token"].alias("token"), (i + once).alias("at")))
-    return _listed(sizes.join(shared, "doc_id").where(size > once).select(F.col("doc_id").alias("id"), "n", posts.alias("posts")))
+    return _listed(sizes.join(shared, "doc_id").where(size > once).select(F.col("doc_id").alias("id"), "n", posts.alias("posts"))), df
 
 
 def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HOT, sketch: float = SKETCH) -> tuple[DataFrame, ...]:
@@ -212,17 +217,20 @@ def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HO
     data = documents(docs).select("doc_id", F.col("text").cast("binary").alias("data"))
     rows = cut(_sets(data, k, sketch, hot))
     nodes = cut(rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("m").alias("m")))
-    # A shingle that is hot in one batch of rows is hot: no count of it is needed, and its rows are dealt out. Others stand
-    # in at most ``hot`` rows of every batch, so a count has a small share of all rows.
-    heavy = cut(rows.select(F.explode("heavy").alias("h_token")).distinct())
+    # What batches have counted adds up by partial sums. A shingle that is hot by these alone needs no further count, and its
+    # rows are dealt out. Of the others a batch whose rows aren't counted has OFTEN - 1 at most, and all counted ones are
+    # ``hot`` at most, so a count has a small share of all rows: 2 of every 10,000.
+    heavy = cut(rows.select(F.explode("heavy").alias("h")).groupBy(F.col("h.token").alias("h_token")).agg(F.sum("h.rows").alias("c")).where(F.col("c") > hot).select("h_token"))
     sketches = _sketches(data, k, sketch)
     sketches = sketches.join(heavy, sketches["token"] == heavy["h_token"], "left").withColumn("salt", F.when(F.col("h_token").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
     count = F.count("*").over(Window.partitionBy("token", "salt"))
     counted = sketches.withColumn("df", F.when(F.col("h_token").isNull(), count).otherwise(F.lit(hot + 1).cast("long"))).where("df > 1")
     counted = cut(counted.select("token", "doc_id", "at", "df"))
+    drop(heavy)
     lists = counted.where("doc_id is not null").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "token", "df"))).alias("found"))
     all_rows = nodes.join(lists, nodes["node"] == lists["doc_id"], "left").select(F.col("node").alias("doc_id"), "n", "m", "found")
     prefixes = cut(_prefixes(all_rows, percent, hot).where("short or size(posts) > 0"))
+    drop(counted)
 
     # Groups of equal prefixes and sizes; a prefix with a shingle of its own is a group of its own.
     key = F.when(F.col("full"), F.xxhash64("posts.token")).otherwise(F.col("doc_id"))
@@ -238,14 +246,22 @@ def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HO
     need = _need(F.col("an"), F.col("bn"), percent)
     least = F.greatest(F.col("ac") - (F.col("an") - need), F.col("bc") - (F.col("bn") - need))
     passed = cut(candidates.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("as", "bs")) >= least).select(F.col("a").alias("x"), F.col("b").alias("y")))
+    drop(groups, members)
 
     short = prefixes.where("short").select("doc_id")
     wanted = passed.select(F.col("x").alias("doc_id")).union(passed.select("y")).union(short).distinct()
     sets = cut(_whole_sets(data, wanted.join(nodes.select(F.col("node").alias("doc_id"), "sid"), "doc_id"), k))
-    lists = cut(_short_lists(sets.join(short, "doc_id", "left_semi"), percent))
-    found = cut(_verified(passed.union(_hub_pairs(lists, percent)).distinct(), sets, percent))
+    lists, shared = _short_lists(sets.join(short, "doc_id", "left_semi"), percent)
+    lists = cut(lists)
+    drop(shared, prefixes)
+    hubs, met = _hub_pairs(lists, percent)
+    found = cut(_verified(passed.union(met).distinct(), sets, percent))
+    drop(hubs, passed)
     roots = components(found)
-    return rows, nodes, found, cut(_verified(_cross_pairs(lists, roots, percent), sets, percent)), roots
+    mixed, met = _cross_pairs(lists, roots, percent)
+    across = cut(_verified(met, sets, percent))
+    drop(mixed, lists, sets)
+    return rows, nodes, found, across, roots
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HOT, sketch: float = SKETCH) -> DataFrame:
@@ -260,16 +276,21 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     """
     rows, nodes, found, across, roots = links(docs, k, percent, hot, sketch)
     if not across.isEmpty():
+        drop(roots)
         roots = components(found.union(across))
-    roots = roots.select(F.col("node").alias("r_node"), "root")
-    placed = nodes.join(roots, nodes["node"] == F.col("r_node"), "left").select(F.col("sid").alias("p_sid"), F.coalesce("root", "node").alias("component_id"))
+    drop(found, across)
+    top = roots.select(F.col("node").alias("r_node"), "root")
+    placed = cut(nodes.join(top, nodes["node"] == F.col("r_node"), "left").select(F.col("sid").alias("p_sid"), F.coalesce("root", "node").alias("component_id")))
+    drop(roots, nodes)
     out = rows.join(placed, rows["sid"] == F.col("p_sid"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("is_first", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The documents that are the first of their component, all columns; of rows with equal doc_id and text, one. Rows without a doc_id stay."""
-    copies = cut(jaccard_components(docs, **options).where(~F.col("is_first")).select(F.col("doc_id").alias("copy_id")).distinct())
+    labelled = jaccard_components(docs, **options)
+    copies = cut(labelled.where(~F.col("is_first")).select(F.col("doc_id").alias("copy_id")).distinct())
+    drop(labelled)
     rows = packed(docs).select("row", "id", "text_key")
     left = rows.join(copies, rows["id"] == copies["copy_id"], "left_anti")
     # Repeated rows are few or none; only they are gathered by key.

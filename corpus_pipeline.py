@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import bpe, decontam, line_dedup, ngram_join, quality
-from folio.llm.common import cut
+from folio.llm.common import cut, drop
 from folio.llm.queries import tokenizer
 
 
@@ -48,5 +48,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        kept = stage(spark, docs, sf_dir)
+        docs = cut(kept)
+        drop(kept)  # the tables that it was made of, the stage's input among them
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -36,8 +36,8 @@ from folio.llm.components import components
 
 WORDS, PERCENT = 4, 85
 HOT, SKETCH = 32, 0.25
-#: A shingle in so many rows of a batch of rows is counted there already.
-OFTEN = 3
+#: A shingle in so many rows of a batch of rows is counted there already; one that is in over DEALT rows by these counts is dealt out.
+OFTEN, DEALT = 8, 10_000
 SALTS = 64
 
 
@@ -57,10 +57,9 @@ def _need(n: Column, m: Column, percent: int) -> Column:
 
 
 def _sets(docs: DataFrame, k: int, sketch: float, hot: int) -> DataFrame:
-    """doc_id, sid (digest of the set, null if empty), n, m (size of the sketch), heavy (on one row of a batch: the shingles
-    of its sketches that stand in ``OFTEN`` of its rows or more, and in how many)."""
-    bound = np.uint64(int(sketch * 2**64))
-    often_kind = pa.struct([("token", pa.int64()), ("rows", pa.int64())])
+    """doc_id, sid (digest of the set, null if empty), n, m (size of the sketch), heavy and heavy_rows (on one row of a batch:
+    the shingles of its sketches that stand in ``OFTEN`` of its rows or more, and in how many)."""
+    bound, least = np.uint64(int(sketch * 2**64)), min(OFTEN, hot + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,14 +68,19 @@ def _sets(docs: DataFrame, k: int, sketch: float, hot: int) -> DataFrame:
                 for f in (shingles(t, k) for t in part.column(1).to_pylist()):
                     m = int(np.searchsorted(f, bound))
                     sketches.append(f[:m])
-                    out.append((hashlib.blake2b(f.tobytes(), digest_size=16).digest() if len(f) else None, len(f), m, None))
+                    out.append((hashlib.blake2b(f.tobytes(), digest_size=16).digest() if len(f) else None, len(f), m, None, None))
             if out:
                 token, count = np.unique(np.concatenate(sketches), return_counts=True)
-                often = count >= min(OFTEN, hot + 1)
-                out[0] = (*out[0][:3], [{"token": t, "rows": c} for t, c in zip(token[often].view(np.int64).tolist(), count[often].tolist())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.list_(often_kind))))], ["doc_id", "sid", "n", "m", "heavy"])
+                out[0] = (*out[0][:3], token[count >= least].view(np.int64), count[count >= least])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))))], ["doc_id", "sid", "n", "m", "heavy", "heavy_rows"])
+
+    return docs.mapInArrow(run, "doc_id long, sid binary, n long, m long, heavy array<long>, heavy_rows array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, sid binary, n long, m long, heavy array<struct<token:long,rows:long>>")
+def _heavy(sets: DataFrame, least: int) -> DataFrame:
+    """h_token: shingles in over ``least`` rows by the counts of batches, which add up by partial sums."""
+    counted = sets.select(F.explode(F.arrays_zip("heavy", "heavy_rows")).alias("h"))
+    return counted.groupBy(F.col("h.heavy").alias("h_token")).agg(F.sum("h.heavy_rows").alias("c")).where(F.col("c") > least).select("h_token")
 
 
 def _sketches(docs: DataFrame, k: int, sketch: float) -> DataFrame:
@@ -217,10 +221,10 @@ def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, hot: int = HO
     data = documents(docs).select("doc_id", F.col("text").cast("binary").alias("data"))
     rows = cut(_sets(data, k, sketch, hot))
     nodes = cut(rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("m").alias("m")))
-    # What batches have counted adds up by partial sums. A shingle that is hot by these alone needs no further count, and its
-    # rows are dealt out. Of the others a batch whose rows aren't counted has OFTEN - 1 at most, and all counted ones are
-    # ``hot`` at most, so a count has a small share of all rows: 2 of every 10,000.
-    heavy = cut(rows.select(F.explode("heavy").alias("h")).groupBy(F.col("h.token").alias("h_token")).agg(F.sum("h.rows").alias("c")).where(F.col("c") > hot).select("h_token"))
+    # A shingle that is hot by the counts of batches needs no further count, and its rows are dealt out if they are many: at
+    # most one shingle for DEALT postings is. Of any other a batch whose rows aren't counted has OFTEN - 1 at most, so a
+    # count has 7 of every 10,000 rows and DEALT more.
+    heavy = cut(_heavy(rows, max(hot, DEALT)))
     sketches = _sketches(data, k, sketch)
     sketches = sketches.join(heavy, sketches["token"] == heavy["h_token"], "left").withColumn("salt", F.when(F.col("h_token").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
     count = F.count("*").over(Window.partitionBy("token", "salt"))

@@ -40,7 +40,8 @@ def nearest(words: DataFrame, vocabulary: DataFrame, distance: int = 2, limit: i
     vocabulary; null words have no neighbours; the empty word has short ones.
     """
     sought = words.where("word is not null").select("word", F.explode(keys(F.col("word"), distance)).alias("key"))
-    met = sought.join(index(vocabulary, distance), "key").where(F.abs(F.length("word") - F.length("known")) <= distance)
+    # A word has dozens of keys, which Spark doesn't foresee: what it takes for a small table may be too large to be sent whole.
+    met = sought.hint("merge").join(index(vocabulary, distance), "key").where(F.abs(F.length("word") - F.length("known")) <= distance)
     pairs = met.select("word", "known", "weight").distinct().withColumn("distance", F.levenshtein("word", "known")).where(F.col("distance") <= distance)
     # Spark cuts each word's neighbours to the best few in tasks, before they are shuffled.
     order = Window.partitionBy("word").orderBy(F.col("distance").asc(), F.col("weight").desc(), F.col("known").asc())

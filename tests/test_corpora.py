@@ -77,6 +77,15 @@ def test_neighbours_against_brute_force(spark, distance):
     assert vocabulary.nearest(df, table.limit(0)).collect() == []
 
 
+def test_neighbours_send_no_side_whole(spark, tmp_path):
+    spark.range(2000).selectExpr("concat('word', id) AS word", "id AS weight").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")  # a few KB, over 50 keys a word
+    found = vocabulary.nearest(words.select("word"), words)
+    planned = lambda: found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in planned() and "SortMergeJoin" in planned()
+    assert found.where("rank = 0 AND word = known AND distance = 0").count() == 2000
+
+
 def _applied(left, edits):
     gone = {line for op, line, _ in edits if op == "-"}
     kept = [x for k, x in enumerate(left, 1) if k not in gone]

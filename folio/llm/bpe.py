@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from folio.llm.common import documents, slices
+from folio.llm.common import KEPT, documents, slices
 
 END = "</w>"
 _NEVER = 1 << 30
@@ -501,6 +501,9 @@ def chunk_codec(path: str, style: str = "tokens") -> ChunkCodec:
     return ChunkCodec(load(path), style)
 
 
+KEPT.extend((load.cache_clear, chunk_codec.cache_clear))
+
+
 def encode_documents(docs: DataFrame, path: str, style: str = "tokens") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256 and decoded_sha256 (of what the decoder makes of the ids, in its style).
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import ByteHashes, cut, documents, drop, packed, slices, word_blocks
+from folio.llm.common import ByteHashes, cut, documents, drop, packed, release, slices, word_blocks
 from folio.llm.components import components
 
 WORDS, PERCENT = 4, 85
@@ -62,6 +62,7 @@ def _sets(docs: DataFrame, k: int, sketch: float, hot: int) -> DataFrame:
     bound, least = np.uint64(int(sketch * 2**64)), min(OFTEN, hot + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             out, sketches = [], []
             for part in slices([batch]):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.bpe import PRETOKENS, Kept, WordBpe, load
-from folio.llm.common import documents, slices
+from folio.llm.common import KEPT, documents, slices
 
 
 class PrefixCounter:
@@ -112,6 +112,9 @@ def prefix_counter(path: str) -> PrefixCounter:
     return PrefixCounter(load(path))
 
 
+KEPT.append(prefix_counter.cache_clear)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit, words_within and bytes_within (whole words within the limit, and bytes of the next), chars_within.
 

@@ -27,7 +27,7 @@ Passages of ``passage`` words go the same way with words for bytes (white
 space between them doesn't count), anchors of 13 words, and no cells, as an
 anchor stands for some 39 offsets at most. They are reported, not removed.
 
-A text is taken in blocks of 4 MB: a border splits a context in two, and both
+Short texts are hashed many at once. A long one is taken in blocks of 4 MB: a border splits a context in two, and both
 halves are ranked as contexts of their own, so nothing is lost there.
 """
 
@@ -38,91 +38,169 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import ByteHashes, cut, drop, slices, word_blocks
+from folio.llm.common import ByteHashes, Hashes, cut, drop, mix, ranges, slices, text_groups, word_places
 
 WIDTH, GRAM, CELL = 400, 100, 25
 #: Words of a passage, and of the string that anchors it.
 PASSAGE, PASSAGE_GRAM = 51, 13
-_BLOCK = 1 << 22
+_BLOCK, _WORD_BLOCK = 1 << 22, 1 << 19
 _LOW = np.uint64((1 << 24) - 1)
 _BY_WORD = np.uint64(0x5851F42D4C957F2D)
-_ANCHOR = "h long, context long, most int, least int, first int, last int"
+_HALF = (1 << 32) - 1
 
 
-def _least(ranks: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The place of the least rank of each of n windows of k ranks: (places, first window, last window) where it changes."""
+def _least(ranks: np.ndarray, windows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of the least rank of each of these windows of k ranks: (places, first window, last window) where it changes."""
     keys = (ranks & ~_LOW) | np.arange(len(ranks), dtype=np.uint64)
-    padded = np.full(-(-len(keys) // k) * k, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(keys)] = keys
-    grid = padded.reshape(-1, k)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    of = (np.minimum(back[:n], ahead[k - 1 : k - 1 + n]) & _LOW).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-    return of[first], first, np.concatenate((first[1:] - 1, [n - 1]))
-
-
-def anchors(data: bytes, width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of every anchor: hash, hash of the context, largest and least offset of its strings (anchor minus start), where the context begins and ends."""
-    for s in range(0, len(data) - width + 1, _BLOCK):
-        own = data[s : s + _BLOCK + width - 1]
-        hashes = ByteHashes(own)
-        ranks = hashes.windows(gram)
-        at, first, last = _least(ranks, len(own) - width + 1, width - gram + 1)
-        yield ranks[at], hashes.of(first, last + width), at - first, at - last, first + s, last + width + s
+    # Minima of doubling lengths, two of which cover a window.
+    size = 1
+    while 2 * size <= k:
+        keys = np.minimum(keys[:-size], keys[size:])
+        size *= 2
+    of = (np.minimum(keys[windows], keys[windows + (k - size)]) & _LOW).astype(np.int64)
+    changes = np.flatnonzero(of[1:] != of[:-1])
+    first = np.concatenate(([0], changes + 1))
+    return of[first], windows[first], windows[np.concatenate((changes, [len(of) - 1]))]
+
+
+def _windows(bounds: np.ndarray, width: int, start: int, end: int) -> np.ndarray:
+    """Where the windows begin, from start to end, that lie in one of the texts between bounds; counted from start."""
+    low, high = np.maximum(bounds[:-1], start), np.minimum(bounds[1:] - width + 1, end)
+    return ranges(low - start, np.maximum(high - low, 0))
+
 
+def _bounds(data: bytes | np.ndarray) -> np.ndarray:
+    return np.array([0, len(data)])
 
-def word_anchors(data: bytes, passage: int = PASSAGE, gram: int = PASSAGE_GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+
+def anchors(data: bytes | np.ndarray, width: int = WIDTH, gram: int = GRAM, bounds: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of every anchor: hash, hash of the context, largest and least offset of its strings (anchor minus start), where the context begins and ends.
+
+    bounds: where texts begin, and the last ends, if data has several one after the other; no string crosses these.
+    """
+    bounds = _bounds(data) if bounds is None else bounds
+    for s in range(0, len(data) - width + 1, _BLOCK):
+        own = data[s : s + _BLOCK + width - 1]
+        windows = _windows(bounds, width, s, s + len(own) - width + 1)
+        if len(windows):
+            hashes = ByteHashes(own)
+            ranks = hashes.unmixed(gram)
+            at, first, last = _least(ranks, windows, width - gram + 1)
+            yield mix(ranks[at]), hashes.of(first, last + width), at - first, at - last, first + s, last + width + s
+
+
+def _words(data: np.ndarray, bounds: np.ndarray, passage: int) -> Iterator[tuple[np.ndarray, np.ndarray, Hashes, np.ndarray, np.ndarray]]:
+    """Of every block of words, those of its last passages included: where they begin and end, hashes of series of them,
+    which of them begin a passage that lies in one text, and for each text how many of its words come before the block."""
+    starts, ends = word_places(data, bounds)
+    of_texts = np.searchsorted(starts, bounds)
+    for s in range(0, len(starts) - passage + 1, _WORD_BLOCK):
+        to = min(len(starts), s + _WORD_BLOCK + passage - 1)
+        windows = _windows(of_texts, passage, s, to - passage + 1)
+        if len(windows):
+            base = starts[s]
+            values = ByteHashes(data[base : ends[to - 1]]).of(starts[s:to] - base, ends[s:to] - base)
+            yield starts[s:to], ends[s:to], Hashes(values), windows, s - of_texts
+
+
+def word_anchors(data: bytes | np.ndarray, passage: int = PASSAGE, gram: int = PASSAGE_GRAM, bounds: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """As anchors(), of the strings of ``passage`` words; offsets are words, where a context begins and ends are bytes."""
-    for starts, ends, hashes, begin, end in word_blocks(data, passage):
-        n = len(starts) - passage + 1
-        ranks = hashes.of(begin[: len(begin) - gram + 1], end[gram - 1 :])
-        place, first, last = _least(ranks, n, passage - gram + 1)
-        to = last + passage - 1
-        yield ranks[place] ^ _BY_WORD, hashes.of(begin[first], end[to]), place - first, place - last, starts[first], ends[to]
+    raw = np.frombuffer(data, np.uint8)
+    for starts, ends, hashes, windows, _ in _words(raw, _bounds(raw) if bounds is None else bounds, passage):
+        ranks = hashes.unmixed(gram)
+        at, first, last = _least(ranks, windows, passage - gram + 1)
+        yield mix(ranks[at]) ^ _BY_WORD, hashes.of(first, last + passage), at - first, at - last, starts[first], ends[last + passage - 1]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+def _pair(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two numbers below 2^31 as one long."""
+    return high.astype(np.int64) << 32 | low.astype(np.int64)
+
+
+def _unpair(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return pairs >> 32, pairs & _HALF
+
+
+def _span(first: np.ndarray, last: np.ndarray, by_word: bool | np.ndarray) -> np.ndarray:
+    """Where a span begins and ends as one long; below 0 for passages of words."""
+    return _pair(first, last) ^ -np.asarray(by_word).astype(np.int64)
+
+
+def _from_span(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _unpair(np.where(spans < 0, ~spans, spans))
+
+
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _table(batch: pa.RecordBatch, names: list[str], rows: np.ndarray, more: dict[str, pa.Array]) -> pa.RecordBatch:
+    """These columns at these rows, and more columns."""
+    take = pa.array(rows)
+    return pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in names), *more.values()], [*names, *more])
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
 def _anchor_rows(docs: DataFrame, width: int, gram: int, passage: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows, parts, by_word = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                for words in (False, True) if passage else (False,):
-                    for part in word_anchors(text, passage) if words else anchors(text, width, gram):
-                        rows.append(np.full(len(part[0]), i)), parts.append(part), by_word.append(np.full(len(part[0]), words))
-            if rows:
-                take = pa.array(np.concatenate(rows))
-                h, context, *places = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(by_word)), _signed(h), _signed(context), *(pa.array(p.astype(np.int32)) for p in places)], ["doc_id", "text_key", "by_word", "h", "context", "most", "least", "first", "last"])
+            parts = []
+            for i, _, data, bounds in text_groups(batch.column("data")):
+                for by_word in (False, True) if passage else (False,):
+                    for h, context, most, least, first, last in word_anchors(data, passage, bounds=bounds) if by_word else anchors(data, width, gram, bounds):
+                        row = np.searchsorted(bounds, first, "right") - 1
+                        parts.append((i + row, h, context, _pair(most, least), _span(first - bounds[row], last - bounds[row], by_word)))
+            if parts:
+                rows, h, context, reach, span = _joined(parts)
+                yield _table(batch, _KEY, rows, {"h": _signed(h), "context": _signed(context), "reach": pa.array(reach), "span": pa.array(span)})
+
+    return docs.select(*_KEY, "data").mapInArrow(run, "doc_id long, text_key long, h long, context long, reach long, span long")
+
+
+_KEY = ["doc_id", "text_key"]
+#: Of a context: its document, place, anchor, hash, offsets, and whether it is the only one of its kind.
+_CONTEXT = [*_KEY, "span", "h", "context", "reach", "once"]
+_CONTEXT_TYPES = "doc_id long, text_key long, span long, h long, context long, reach long, once boolean"
+
 
-    return docs.select("doc_id", "text_key", "data").mapInArrow(run, f"doc_id long, text_key long, by_word boolean, {_ANCHOR}")
+def _same(left: DataFrame, right: DataFrame, *key: str) -> tuple[DataFrame, Column]:
+    """right with other names for the key, and the condition that it equals left's; ids may be null."""
+    renamed = right.withColumnsRenamed({k: f"_{k}" for k in key})
+    on = left["doc_id"].eqNullSafe(renamed["_doc_id"])
+    for k in key:
+        on = on if k == "doc_id" else on & (left[k] == renamed[f"_{k}"])
+    return renamed, on
 
 
 def _context_bytes(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """The bytes of the contexts in edges, taken from their documents."""
-    wanted = edges.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("by_word", "first", "last", "h", "most", "least", "once")).alias("anchors")).select(F.col("doc_id").alias("e_id"), F.col("text_key").alias("e_key"), "anchors")
-    texts = docs.select("doc_id", "text_key", "data")
-    joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("text_key") == F.col("e_key"))).select("doc_id", "text_key", "data", "anchors")
+    """The bytes of the contexts in edges, taken from their documents; a repeated row gives its contexts each time."""
+    found = edges.groupBy(*_KEY).agg(F.collect_list(F.struct(*_CONTEXT[2:])).alias("anchors"))
+    texts = docs.select(*_KEY, "data")
+    wanted, on = _same(texts, found, *_KEY)
+    joined = texts.join(wanted, on).select(*_KEY, "data", "anchors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            docs_, keys, texts_, lists = (c.to_pylist() for c in batch.columns)
-            out = [(d, k, a["by_word"], a["first"], a["h"], a["most"], a["least"], a["once"], t[a["first"] : a["last"]]) for d, k, t, found in zip(docs_, keys, texts_, lists) for a in found]
-            for s in range(0, len(out), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(zip(*out[s : s + 100_000]), (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], ["doc_id", "text_key", "by_word", "first", "h", "most", "least", "once", "data"])
-
-    # A repeated row gives its contexts once.
-    return joined.mapInArrow(run, "doc_id long, text_key long, by_word boolean, first int, h long, most int, least int, once boolean, data binary").dropDuplicates(["doc_id", "text_key", "by_word", "first"])
+            texts_, lists = batch.column("data").to_pylist(), batch.column("anchors")
+            rows, found_ = np.repeat(np.arange(len(lists)), _longs(pc.list_value_length(lists))), lists.flatten().flatten()
+            first, last = _from_span(_longs(found_[0]))
+            data = [texts_[r][a:b] for r, a, b in zip(rows.tolist(), first.tolist(), last.tolist())]
+            out = _table(batch, _KEY, rows, dict(zip(_CONTEXT[2:], found_)) | {"data": pa.array(data, pa.binary())})
+            for s in range(0, len(data), 100_000):
+                yield out.slice(s, 100_000)
 
-
-_KEY = ["doc_id", "text_key"]
+    return joined.mapInArrow(run, f"{_CONTEXT_TYPES}, data binary")
 
 
 def _cells(contexts: DataFrame, width: int, cell: int) -> DataFrame:
@@ -130,45 +208,57 @@ def _cells(contexts: DataFrame, width: int, cell: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 5000):
-            most, least = (batch.column(k).to_pylist() for k in (4, 5))
-            rows, ks, lows, highs, cores, hulls = [], [], [], [], [], []
-            for i, data in enumerate(batch.column(7).to_pylist()):
-                k = np.arange(least[i] // cell, most[i] // cell + 1)
-                hashes, base = ByteHashes(data), most[i]
-                low, high = np.maximum(k * cell, least[i]), np.minimum(k * cell + cell - 1, most[i])
+            parts = []
+            all_most, all_least = _unpair(_longs(batch.column("reach")))
+            for i, j, data, bounds in text_groups(batch.column("data")):
+                from_, to = all_least[i:j] // cell, all_most[i:j] // cell
+                row, k = np.repeat(np.arange(j - i), to - from_ + 1), ranges(from_, to - from_ + 1)
+                most, least = all_most[i:j][row], all_least[i:j][row]
                 # A string of offset o is at base - o here.
-                cores.append(hashes.of(base - k * cell, np.maximum(base - k * cell - cell + 1 + width, base - k * cell)))
+                hashes, base = ByteHashes(data), bounds[row] + most
+                low, high = np.maximum(k * cell, least), np.minimum(k * cell + cell - 1, most)
+                core = hashes.of(base - k * cell, base - k * cell - cell + 1 + width)
                 whole = (low == k * cell) & (high == k * cell + cell - 1)
-                hulls.append(np.where(whole, hashes.of(base - high, base - low + width), np.uint64(0)))
-                rows.append(np.full(len(k), i)), ks.append(k), lows.append(low), highs.append(high)
-            if rows:
-                take = pa.array(np.concatenate(rows))
-                hull = np.concatenate(hulls)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in (0, 1, 2, 3, 4, 6)], pa.array(np.concatenate(ks).astype(np.int32)), pa.array(np.concatenate(lows).astype(np.int32)), pa.array(np.concatenate(highs).astype(np.int32)), _signed(np.concatenate(cores)), pa.array(hull.view(np.int64), mask=hull == 0)], ["doc_id", "text_key", "first", "h", "most", "once", "k", "low", "high", "core", "hull"])
+                hull = np.where(whole, hashes.of(np.where(whole, base - high, 0), np.where(whole, base - low + width, 0)), np.uint64(0))
+                parts.append((i + row, k, low, high, core, hull))
+            if parts:
+                rows, k, low, high, core, hull = _joined(parts)
+                yield _table(batch, _CONTEXT, rows, {"k": pa.array(k.astype(np.int32)), "low": pa.array(low.astype(np.int32)), "high": pa.array(high.astype(np.int32)), "core": _signed(core), "hull": pa.array(hull.view(np.int64), mask=hull == 0)})
 
-    rows = contexts.where("not by_word").select("doc_id", "text_key", "first", "h", "most", "least", "once", "data")
-    return rows.mapInArrow(run, "doc_id long, text_key long, first int, h long, most int, once boolean, k int, low int, high int, core long, hull long")
+    rows = contexts.where("span >= 0").select(*_CONTEXT, "data")
+    return rows.mapInArrow(run, f"{_CONTEXT_TYPES}, k int, low int, high int, core long, hull long")
+
+
+_STRING = [*_KEY, "h", "context", "once"]
+_STRING_TYPES = "doc_id long, text_key long, h long, context long, once boolean, o int, rank long, span long"
 
 
 def _strings(contexts: DataFrame, open_cells: DataFrame, width: int) -> DataFrame:
     """Hashes at the full width of the offsets of open cells."""
-    key = ["doc_id", "text_key", "first"]
-    wanted = open_cells.groupBy(*key).agg(F.collect_list(F.struct("low", "high")).alias("cells")).select(*[F.col(k).alias(f"c_{k}") for k in key], "cells")
-    contexts = contexts.where("not by_word")
-    joined = contexts.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & (F.col("text_key") == F.col("c_text_key")) & (F.col("first") == F.col("c_first"))).select("doc_id", "text_key", "h", "first", "most", "once", "data", "cells")
+    key = [*_KEY, "span"]
+    # A repeated row has its cells several times.
+    found = open_cells.groupBy(*key).agg(F.collect_set(F.struct("low", "high")).alias("cells"))
+    rows = contexts.where("span >= 0").select(*_CONTEXT, "data")
+    wanted, on = _same(rows, found, *key)
+    joined = rows.join(wanted, on).select(*_CONTEXT, "data", "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
-            most, first = batch.column(4).to_pylist(), batch.column(3).to_pylist()
-            rows, offsets, ranks, begins = [], [], [], []
-            for i, (data, cells) in enumerate(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist())):
-                o = np.concatenate([np.arange(c["low"], c["high"] + 1) for c in cells])
-                offsets.append(o), rows.append(np.full(len(o), i)), ranks.append(ByteHashes(data).of(most[i] - o, most[i] - o + width)), begins.append(first[i] + most[i] - o)
-            if rows:
-                take, begin = pa.array(np.concatenate(rows)), np.concatenate(begins).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in (0, 1, 2, 5)], pa.array(np.concatenate(offsets).astype(np.int32)), _signed(np.concatenate(ranks)), pa.array(begin), pa.array(begin + np.int32(width)), pa.array(np.zeros(len(begin), bool))], ["doc_id", "text_key", "h", "once", "o", "rank", "first", "last", "by_word"])
-
-    return joined.mapInArrow(run, "doc_id long, text_key long, h long, once boolean, o int, rank long, first int, last int, by_word boolean")
+            parts = []
+            most, (first, _) = _unpair(_longs(batch.column("reach")))[0], _from_span(_longs(batch.column("span")))
+            for i, j, data, bounds in text_groups(batch.column("data")):
+                lists = batch.column("cells").slice(i, j - i)
+                low, high = map(_longs, lists.flatten().flatten())
+                row = np.repeat(np.repeat(np.arange(j - i), _longs(pc.list_value_length(lists))), high - low + 1)
+                o = ranges(low.astype(np.int64), high.astype(np.int64) - low + 1)
+                at = most[i:j][row] - o
+                begin = first[i:j][row] + at
+                parts.append((i + row, o, ByteHashes(data).of(bounds[row] + at, bounds[row] + at + width), _span(begin, begin + width, False)))
+            if parts:
+                rows_, o, rank, span = _joined(parts)
+                yield _table(batch, _STRING, rows_, {"o": pa.array(o.astype(np.int32)), "rank": _signed(rank), "span": pa.array(span)})
+
+    return joined.mapInArrow(run, _STRING_TYPES)
 
 
 def _passages(contexts: DataFrame, passage: int) -> DataFrame:
@@ -176,28 +266,29 @@ def _passages(contexts: DataFrame, passage: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
-            first, most = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            rows, offsets, ranks, begins, ends = [], [], [], [], []
-            for i, data in enumerate(batch.column(6).to_pylist()):
-                for starts, ends_, hashes, begin, end in word_blocks(data, passage):
-                    n = len(starts) - passage + 1
-                    rows.append(np.full(n, i)), offsets.append(most[i] - np.arange(n)), ranks.append(hashes.of(begin[:n], end[passage - 1 :]))
-                    begins.append(first[i] + starts[:n]), ends.append(first[i] + ends_[passage - 1 :])
-            if rows:
-                take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in (0, 1, 2, 5)], pa.array(np.concatenate(offsets).astype(np.int32)), _signed(np.concatenate(ranks)), pa.array(np.concatenate(begins).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.ones(sum(map(len, rows)), bool))], ["doc_id", "text_key", "h", "once", "o", "rank", "first", "last", "by_word"])
-
-    rows = contexts.where("by_word").select("doc_id", "text_key", "h", "first", "most", "once", "data")
-    return rows.mapInArrow(run, "doc_id long, text_key long, h long, once boolean, o int, rank long, first int, last int, by_word boolean")
+            parts = []
+            most, (first, _) = _unpair(_longs(batch.column("reach")))[0], _from_span(_longs(batch.column("span")))
+            for i, j, data, bounds in text_groups(batch.column("data")):
+                for starts, ends, hashes, windows, earlier in _words(data, bounds, passage):
+                    begin, end = starts[windows], ends[windows + passage - 1]
+                    row = np.searchsorted(bounds, begin, "right") - 1
+                    shift = first[i:j][row] - bounds[row]
+                    parts.append((i + row, most[i:j][row] - windows - earlier[row], hashes.of(windows, windows + passage), _span(begin + shift, end + shift, True)))
+            if parts:
+                rows_, o, rank, span = _joined(parts)
+                yield _table(batch, _STRING, rows_, {"o": pa.array(o.astype(np.int32)), "rank": _signed(rank), "span": pa.array(span)})
+
+    rows = contexts.where("span < 0").select(*_CONTEXT, "data")
+    return rows.mapInArrow(run, _STRING_TYPES)
 
 
 def _twice(rows: DataFrame, *key: str) -> DataFrame:
-    """The keys of two rows at least, as a table of their own: their sums are partial, and a join to it can be split."""
-    return cut(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
+    """The keys that two contexts have at least, as a table of their own: their sums are partial, and a join to it can be split."""
+    return cut(rows.groupBy(*key).agg((F.min("context") != F.max("context")).alias("twice")).where("twice").select(*key))
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cell: int = CELL, passage: int = PASSAGE) -> DataFrame:
-    """doc_id, text_key, by_word, first, last (byte after the end) of spans that cover all bytes of repeated strings (of words: all words of repeated passages); spans may overlap.
+    """doc_id, text_key, span (see _span) of spans that cover all bytes of repeated strings (of words: all words of repeated passages); spans may overlap.
 
     docs: doc_id, text_key, data. passage = 0: no passages.
     """
@@ -209,21 +300,21 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cell:
     ranks = cut(found.groupBy("h").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alike")).where("n > 1").select("h", "alike"))
     twice = cut(found.join(ranks, "h"))
     drop(found, ranks)
-    span = [*_KEY, "by_word", "first", "last"]
+    span = [*_KEY, "span"]
     inside = twice.where("alike").select(*span)
 
     # Contexts that differ: one of each kind goes on, and a kind found twice is settled.
     differ = twice.where(~F.col("alike"))
-    kind = ["h", "context", "most", "least"]
-    kinds = cut(differ.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "first", "last", "by_word")).alias("one")))
+    kind = ["h", "context", "reach"]
+    kinds = cut(differ.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct(*span)).alias("one")))
     settled = differ.join(kinds.where("n > 1").select(*kind), kind, "left_semi").select(*span)
-    edges = kinds.select("one.*", "h", "most", "least", (F.col("n") == 1).alias("once"))
+    edges = kinds.select("one.*", *kind, (F.col("n") == 1).alias("once"))
     contexts = cut(_context_bytes(docs, edges))
     own = cut(_cells(contexts, width, cell))
     cells = cut(own.join(_twice(own, "h", "k", "core"), ["h", "k", "core"], "left_semi"))
     hulls = _twice(cells.where("hull is not null"), "h", "k", "hull")
-    begin = F.col("first") + F.col("most")
-    covered = cells.where("once").join(hulls, ["h", "k", "hull"], "left_semi").select(*_KEY, F.lit(False).alias("by_word"), (begin - F.col("high")).alias("first"), (begin - F.col("low") + width).alias("last"))
+    begin = F.shiftright("span", 32) + F.shiftright("reach", 32)
+    covered = cells.where("once").join(hulls, ["h", "k", "hull"], "left_semi").select(*_KEY, F.shiftleft(begin - F.col("high"), 32).bitwiseOR(begin - F.col("low") + width).alias("span"))
     # Borders: a cell of one context is open; those that share its core must be ranked with it.
     open_cells = cut(cells.join(hulls, ["h", "k", "hull"], "left_anti").where("once").select("h", "k", "core").distinct())
     sides = cells.join(open_cells, ["h", "k", "core"], "left_semi")
@@ -242,15 +333,17 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("data"))
 
 
-def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans that overlap or touch, as one."""
-    out: list[list[int]] = []
-    for first, last in sorted(spans):
-        if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], last)
-        else:
-            out.append([first, last])
-    return [(a, b) for a, b in out]
+def _runs(rows: np.ndarray, spans: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of rows (texts of these sizes) that overlap or touch, as one: where each row's runs are, their begins and ends."""
+    # The texts lie one after the other with a gap, so that runs of two don't touch.
+    base = np.cumsum(sizes + 1) - (sizes + 1)
+    first, last = (x + base[rows] for x in _from_span(spans))
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], np.maximum.accumulate(last[order])
+    new = np.flatnonzero(np.concatenate(([True] * bool(len(first)), first[1:] > last[:-1])))
+    begin, end = first[new], last[np.concatenate((new[1:], [len(first)])).astype(np.int64) - 1] if len(new) else last
+    of = np.searchsorted(base, begin, "right") - 1
+    return np.searchsorted(of, np.arange(len(sizes) + 1)), begin - base[of], end - base[of]
 
 
 def dedup_bytes(docs: DataFrame, width: int = WIDTH, with_data: bool = False, passage: int = PASSAGE) -> DataFrame:
@@ -266,19 +359,25 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, with_data: bool = False, pa
     must be numbers.
     """
     rows = _prepared(docs)
-    spans = repeated_spans(rows, width, passage=passage).groupBy(*_KEY).agg(F.collect_set(F.struct("by_word", "first", "last")).alias("spans")).select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), "spans")
-    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_key") == F.col("s_key")), "left").select("doc_id", "data", "spans")
+    spans = repeated_spans(rows, width, passage=passage).groupBy(*_KEY).agg(F.collect_set("span").alias("spans"))
+    found, on = _same(rows, spans, *_KEY)
+    joined = rows.join(found, on, "left").select("doc_id", "data", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"] + ["kept"] * with_data
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long" + ", kept binary" * with_data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                gone = _runs([(s["first"], s["last"]) for s in found or [] if not s["by_word"]])
-                said = _runs([(s["first"], s["last"]) for s in found or [] if s["by_word"]])
-                left = b"".join([data[a:b] for a, b in zip([0, *(g[1] for g in gone)], [*(g[0] for g in gone), len(data)])])
-                out.append((len(data), len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest(), sum(len(data[a:b].split()) for a, b in said), left))
+            texts, lists = batch.column(1).to_pylist(), batch.column(2)
+            spans, owners = _longs(lists.flatten()), np.repeat(np.arange(len(lists)), _longs(pc.list_value_length(lists).fill_null(0)))
+            sizes = np.array([len(t) for t in texts], np.int64)
+            (of, *gone), (of_said, *said) = (_runs(owners[kind], spans[kind], sizes) for kind in (spans >= 0, spans < 0))
+            gone, said = ([x.tolist() for x in runs] for runs in (gone, said))
+            for i, data in enumerate(texts):
+                a, b = gone[0][of[i] : of[i + 1]], gone[1][of[i] : of[i + 1]]
+                left = b"".join([data[x:y] for x, y in zip([0, *b], [*a, len(data)])]) if a else data
+                n_words = sum(len(data[x:y].split()) for x, y in zip(*(s[of_said[i] : of_said[i + 1]] for s in said)))
+                out.append((len(data), len(data) - len(left), len(a), hashlib.sha256(left).hexdigest(), n_words, left))
             columns = [pa.array([o[k] for o in out], t) for k, t in zip(range(5 + with_data), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
